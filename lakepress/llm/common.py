@@ -71,3 +71,18 @@ def fold(doc_id: Column, modulus: int) -> Column:
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id as long, and text with null as empty; nothing else, so other columns can't clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def with_maybe(df: DataFrame, key: Column, keys: DataFrame, name: str, bits: int = 1 << 24) -> DataFrame:
+    """`df` with a boolean column `name`: false only where `key` is none of `keys` (one column of long).
+
+    The keys are broadcast as a table of bits, whose size is fixed (2**24 bits are
+    2 MB) whatever their number; a bit shared by chance gives a true too many, which an exact join must follow.
+    """
+    hashed = keys.select(F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(bits)).alias("__bucket")).distinct()
+    table = hashed.groupBy(F.bitmap_bucket_number("__bucket").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bucket")).alias("__bits"))
+    found = df.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(bits)))
+    place = F.bitmap_bit_position("__bucket")
+    found = found.withColumn("__part", F.bitmap_bucket_number("__bucket")).join(F.broadcast(table), "__part", "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.withColumn(name, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("__part", "__bits", "__bucket")

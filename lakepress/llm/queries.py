@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakepress.llm import decontaminate, exact_dedup, langid, packing, quality, shard, token_output, toxicity
+from lakepress.llm import decontaminate, exact_dedup, langid, near_dedup, packing, quality, shard, token_output, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op7_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(spark, token_output.write(_table(spark, sf_dir, "documents")))
 
