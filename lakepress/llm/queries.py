@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakepress.llm import decontaminate, exact_dedup, langid, near_dedup, packing, quality, shard, token_output, toxicity
+from lakepress.llm import decontaminate, exact_dedup, langid, near_dedup, packing, pseudonyms, quality, shard, token_output, toxicity
+
+#: The query's key; whoever runs the operator gives a secret one.
+PSEUDONYM_KEY = b"test tables only"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_table(spark, sf_dir, "documents"), digest_all=True)
 
