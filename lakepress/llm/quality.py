@@ -33,9 +33,9 @@ from lakepress.llm.toxicity import calibrated
 PASSAGE = 256
 BINS = 160
 HIDDEN, GATE = 32, 16
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 5_000
 #: Passes over the sample; a small sample gets more, for about as many steps.
-EPOCHS, MOST_EPOCHS, FEW_ROWS = 6, 40, 6_000
+EPOCHS, MOST_EPOCHS, FEW_ROWS = 5, 40, 4_000
 FOLD, HELD_OUT = 5, 0
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
