@@ -6,12 +6,11 @@ same field holds a string in one request and an array in the next.
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakepress.functions.rewrite import rewrite
 from lakepress.functions.text import is_shell_tool, savings_percent, token_count, utf16_length
 from lakepress.operators import session, steps
 from lakepress.plans.config import Config
@@ -102,26 +101,10 @@ def blocks(requests: DataFrame) -> DataFrame:
     return named.withColumn("is_shell_tool", (F.col("kind") == "tool") & is_shell_tool(F.col("name"))).select(*[c for c in _BLOCK if c != "call_id"], "is_shell_tool")
 
 
-def _rewrite(api: str, payload: str, changes: list[tuple[int, int, str]]) -> str:
-    body = json.loads(payload)
-    for message, part, text in changes:
-        item = body["input" if api == "openai-responses" else "messages"][message]
-        if api == "openai-responses" and item.get("type") == "function_call_output":
-            item["output"] = text
-        elif isinstance(item.get("content"), str):
-            item["content"] = text
-        elif item["content"][part].get("type") == "tool_result":
-            own = item["content"][part]
-            own["content"] = [{"type": "text", "text": text}] if isinstance(own.get("content"), list) else text
-        else:
-            item["content"][part]["text"] = text
-    return json.dumps(body, ensure_ascii=False, separators=(",", ":"))
-
-
 @F.pandas_udf("string")
 def rewritten(api: pd.Series, payload: pd.Series, changes: pd.Series) -> pd.Series:
     """The request with new texts at (message, part); all else as it was, in compact JSON."""
-    return pd.Series([None if p is None else _rewrite(a, p, [(c["message"], c["part"], c["text"]) for c in ([] if x is None else x)]) for a, p, x in zip(api, payload, changes)], dtype=object)
+    return pd.Series([None if p is None else rewrite(a, p, [(c["message"], c["part"], c["text"]) for c in ([] if x is None else x)]) for a, p, x in zip(api, payload, changes)], dtype=object)
 
 
 def write_back(requests: DataFrame, changed: DataFrame) -> DataFrame:
