@@ -7,6 +7,8 @@ import json
 
 def rewrite(api: str, payload: str, changes: list[tuple[int, int, str]]) -> str:
     """Put each text at its (message, part); all else stays, a result that was a list becomes one text part."""
+    if not changes:
+        return payload
     body = json.loads(payload)
     for message, part, text in changes:
         item = body["input" if api == "openai-responses" else "messages"][message]

@@ -5,10 +5,20 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakepress.functions import compare, prose, spans
 
-_CONDENSED = "output string, skipped string, techniques array<string>, rules array<string>"
+# Types as objects, so that this module can be imported before a session exists.
+_TEXT, _LONG = T.StringType(), T.LongType()
+_TEXTS = T.ArrayType(_TEXT)
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+_CONDENSED = _struct(output=_TEXT, skipped=_TEXT, techniques=_TEXTS, rules=_TEXTS)
 
 
 def condense(text: Column, intensity: str) -> Column:
@@ -21,7 +31,7 @@ def condense(text: Column, intensity: str) -> Column:
 
 
 def drop_similar_blocks(text: Column, fuzzy: bool = True) -> Column:
-    @F.pandas_udf("output string, removed long")
+    @F.pandas_udf(_struct(output=_TEXT, removed=_LONG))
     def run(s: pd.Series) -> pd.DataFrame:
         rows = [(None, 0) if t is None else compare.drop_similar_blocks(t, fuzzy) for t in s]
         return pd.DataFrame(rows, columns=["output", "removed"])
@@ -29,34 +39,34 @@ def drop_similar_blocks(text: Column, fuzzy: bool = True) -> Column:
     return run(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(_TEXT)
 def strip_comments(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else compare.strip_comments(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(_TEXT)
 def infidelity(before: pd.Series, after: pd.Series) -> pd.Series:
     """Why a step is not faithful; null where it is."""
     return pd.Series([None if a is None or b is None else spans.infidelity(a, b) for a, b in zip(before, after)], dtype=object)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_TEXTS)
 def critical_needles(s: pd.Series) -> pd.Series:
     return pd.Series([[] if t is None else [x for _, x in spans.facts(t)[0]] for t in s], dtype=object)
 
 
-@F.pandas_udf("text string, vals array<string>, categories map<string,long>")
+@F.pandas_udf(_struct(text=_TEXT, vals=_TEXTS, categories=T.MapType(_TEXT, _LONG)))
 def lock(s: pd.Series) -> pd.DataFrame:
     rows = [(None, [], {}) if t is None else spans.lock(t) for t in s]
     return pd.DataFrame({"text": [r[0] for r in rows], "vals": [r[1] for r in rows], "categories": [r[2] for r in rows]})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(_TEXT)
 def unlock(s: pd.Series, values: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else spans.unlock(t, list(v)) for t, v in zip(s, values)], dtype=object)
 
 
-@F.pandas_udf("text string, vals array<string>, kinds array<string>, reject string")
+@F.pandas_udf(_struct(text=_TEXT, vals=_TEXTS, kinds=_TEXTS, reject=_TEXT))
 def mask(s: pd.Series) -> pd.DataFrame:
     out = []
     for t in s:
@@ -66,12 +76,12 @@ def mask(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "vals", "kinds", "reject"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(_TEXT)
 def unmask(s: pd.Series, values: pd.Series, kinds: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else spans.unmask(t, list(zip(k, v))) for t, v, k in zip(s, values, kinds)], dtype=object)
 
 
-@F.pandas_udf("array<struct<type:string,text:string>>")
+@F.pandas_udf(T.ArrayType(_struct(type=_TEXT, text=_TEXT)))
 def word_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     """Segments; null where the texts are too large for each other."""
     out = []
@@ -82,24 +92,23 @@ def word_diff(before: pd.Series, after: pd.Series) -> pd.Series:
 
 
 def heatmap(before: Column, after: Column, mode: str = "ultra") -> Column:
-    @F.pandas_udf("array<struct<text:string,score:double,kept:boolean>>")
+    @F.pandas_udf(T.ArrayType(_struct(text=_TEXT, score=T.DoubleType(), kept=T.BooleanType())))
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if a is None or b is None else [{"text": t, "score": s, "kept": k} for t, s, k in compare.heatmap(a, b, mode)] for a, b in zip(x, y)], dtype=object)
 
     return run(before, after)
 
 
-@F.pandas_udf("array<struct<kind:string,preview:string>>")
+@F.pandas_udf(T.ArrayType(_struct(kind=_TEXT, preview=_TEXT)))
 def preserved_blocks(s: pd.Series) -> pd.Series:
     return pd.Series([[] if t is None else [{"kind": k, "preview": p} for k, p in compare.preserved(t)] for t in s], dtype=object)
 
 
-_ENCODED = "arrays long, json_bytes long, json_tokens long, gcf_bytes long, gcf_tokens long, toon_bytes long, toon_tokens long, winner string"
+_COUNTS = ("arrays", "json_bytes", "json_tokens", "gcf_bytes", "gcf_tokens", "toon_bytes", "toon_tokens")
+_ENCODED = _struct(**dict.fromkeys(_COUNTS, _LONG), winner=_TEXT)
 
 
 @F.pandas_udf(_ENCODED)
 def encodings(s: pd.Series) -> pd.DataFrame:
     rows = [compare.encodings(t or "") for t in s]
-    columns = [x.split()[0] for x in _ENCODED.split(", ")]
-    frame = pd.DataFrame(rows, columns=columns)
-    return frame.astype({c: "Int64" for c in columns[:-1]})
+    return pd.DataFrame(rows, columns=[*_COUNTS, "winner"]).astype(dict.fromkeys(_COUNTS, "Int64"))

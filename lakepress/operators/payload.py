@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lakepress.functions.rewrite import rewrite
 from lakepress.functions.text import is_shell_tool, savings_percent, token_count, utf16_length
@@ -101,7 +102,7 @@ def blocks(requests: DataFrame) -> DataFrame:
     return named.withColumn("is_shell_tool", (F.col("kind") == "tool") & is_shell_tool(F.col("name"))).select(*[c for c in _BLOCK if c != "call_id"], "is_shell_tool")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def rewritten(api: pd.Series, payload: pd.Series, changes: pd.Series) -> pd.Series:
     """The request with new texts at (message, part); all else as it was, in compact JSON."""
     return pd.Series([None if p is None else rewrite(a, p, [(c["message"], c["part"], c["text"]) for c in ([] if x is None else x)]) for a, p, x in zip(api, payload, changes)], dtype=object)
