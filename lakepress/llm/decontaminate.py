@@ -137,7 +137,7 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    sent = [common.send(spark, machines(block, window), 64 * block_bytes) for block in _blocks(benchmark, block_bytes)]
+    sent = [common.send(spark, machines(block, window), common.BROADCAST_BYTES + 64 * block_bytes) for block in _blocks(benchmark, block_bytes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +185,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
     """The documents without any hit word, all columns kept; no row is exchanged."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    sent = [common.send(spark, machines(block, window)[1], 64 * block_bytes) for block in _blocks(benchmark, block_bytes)]
+    sent = [common.send(spark, machines(block, window)[1], common.BROADCAST_BYTES + 64 * block_bytes) for block in _blocks(benchmark, block_bytes)]
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,8 @@ stream, so the parts of a block decode side by side: here as more lanes of the
 same array operations.
 
 A block (little-endian): magic "LPR1", version, lanes, steps, ids, checkpoints,
-words, crc32 of the ids as unsigned 32-bit integers, crc32 of all that follows
-the header; then for each checkpoint its place and states, then the words.
+words, crc32 of the ids as unsigned 32-bit integers, crc32 of the header (with 0 in this
+place) and all that follows; then for each checkpoint its place and states, then the words.
 """
 
 from __future__ import annotations
@@ -95,16 +95,20 @@ def encode(ids: np.ndarray, table: Table, lanes: int = LANES, every: int = CHECK
     stream = np.concatenate(chunks)[::-1] if chunks else np.zeros(0, "<u4")
     marks.reverse()
     body = b"".join(struct.pack("<Q", spilled - at) + s.astype("<u8").tobytes() for at, s in marks) + stream.tobytes()
-    return _HEADER.pack(_MAGIC, 1, lanes, every, n, len(marks), len(stream), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
+    fields = (_MAGIC, 1, lanes, every, n, len(marks), len(stream), zlib.crc32(ids.astype("<u4").tobytes()))
+    return _HEADER.pack(*fields, zlib.crc32(body, zlib.crc32(_HEADER.pack(*fields, 0)))) + body
 
 
 def decode(block: bytes, table: Table, first: int = 0, last: int | None = None) -> np.ndarray:
     """The ids between checkpoints `first` and `last` (all by default), all parts side by side; checks both checksums."""
-    magic, version, lanes, every, n, count, size, crc_ids, crc_body = _HEADER.unpack_from(block)
+    if len(block) < _HEADER.size:
+        raise ValueError("the block is cut off")
+    *fields, crc = _HEADER.unpack_from(block)
+    magic, version, lanes, every, n, count, size, crc_ids = fields
     if magic != _MAGIC or version != 1:
         raise ValueError("not a block of this format")
     body = memoryview(block)[_HEADER.size :]
-    if zlib.crc32(body) != crc_body:
+    if zlib.crc32(body, zlib.crc32(_HEADER.pack(*fields, 0))) != crc:
         raise ValueError("the block is damaged")
     last = count if last is None else min(last, count)
     mark = 8 + 8 * lanes

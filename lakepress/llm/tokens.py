@@ -89,8 +89,6 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        if self.index.size + len(hashes) > KEPT_CUTS and self.index.size:
-            self._clear()
         sizes = ends - starts
         to = np.concatenate([[0], np.cumsum(sizes)])
         own = data[np.arange(to[-1]) + np.repeat(starts - to[:-1], sizes)]  # the new cuts, one after the other
@@ -123,13 +121,11 @@ class Encoder:
             if (rows < 0).any():
                 missing = np.flatnonzero(rows < 0)
                 new, where = np.unique(hashes[missing], return_index=True)
-                before = self.index.size
+                if self.index.size and self.index.size + len(new) > KEPT_CUTS:
+                    self._clear()
+                    missing = np.arange(len(hashes))
+                    new, where = np.unique(hashes, return_index=True)
                 self._learn(new, data, starts[missing[where]], ends[missing[where]])
-                if self.index.size == len(new) and before:  # the table began anew
-                    gone = np.flatnonzero(self.index.lookup(hashes) < 0)
-                    rest, where = np.unique(hashes[gone], return_index=True)
-                    if len(rest):
-                        self._learn(rest, data, starts[gone[where]], ends[gone[where]])
                 rows = self.index.lookup(hashes)
             sizes = self.at[rows + 1] - self.at[rows]
             total = np.concatenate([[0], np.cumsum(sizes)])
