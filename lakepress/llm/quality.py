@@ -175,8 +175,9 @@ def train(texts: list[str], labels: np.ndarray, share: float, epochs: int | None
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, held_out: int = HELD_OUT) -> Model:
     """Learn from a bounded sample of the labelled rows outside the held-out fold."""
-    texts, y, share = samples.labelled(docs, labels, label, sample_rows, FOLD, held_out)
-    return train(texts, y, share)
+    common.small_batches(docs.sparkSession)
+    sample, share = samples.labelled(docs, labels, label, sample_rows, FOLD, held_out)
+    return samples.fitted(sample, lambda texts, y: train(texts, y, share))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, held_out: int = HELD_OUT) -> DataFrame:

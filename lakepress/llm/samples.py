@@ -1,14 +1,18 @@
-"""Bounded samples of labelled rows for training on the driver."""
+"""Bounded samples of labelled rows, and training on them in one task, so that the driver holds neither."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakepress.llm import common
 
-#: Bytes of text that a sample brings to the driver; longer samples are thinned before they are collected.
+#: Bytes of text that a sample brings to the task that trains; longer samples are thinned before.
 SAMPLE_BYTES = 48 << 20
 SPAN = 32_768
 
@@ -18,8 +22,8 @@ def _unit(column: Column) -> Column:
     return F.pmod(F.xxhash64(column, F.lit(41)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, modulus: int, held_out: int) -> tuple[list[str], np.ndarray, float]:
-    """Texts and labels of at most about `rows` rows, and the share of label 1 among all that may be learned from.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, modulus: int, held_out: int) -> tuple[DataFrame | None, float]:
+    """(doc_id, __y, text) of at most about `rows` rows (None without any label), and the share of label 1 among all that may be learned from.
 
     The classes' counts cover all labelled rows. Ids are then chosen class by
     class by their hash, at most `rows` of them, and sent to the texts as a
@@ -30,7 +34,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, modulus:
     own = own.where(common.fold(F.col("doc_id"), modulus) != held_out)
     found = {r["__y"]: r["n"] for r in own.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     if not found:
-        return [], np.zeros(0, np.int64), 0.0
+        return None, 0.0
     total = sum(found.values())
     half = rows // 2
     want = {y: min(n, max(half, rows - (total - n))) for y, n in found.items()}
@@ -45,7 +49,22 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, modulus:
     size = table.agg(F.sum("__n")).first()[0] or 0
     if size > SAMPLE_BYTES:
         table = table.where(_unit(F.col("doc_id") + 1) < SAMPLE_BYTES / size)
-    pulled = table.drop("__n").toArrow()
-    order = np.argsort(pulled["doc_id"].to_numpy(), kind="stable")
-    pulled = pulled.take(order)
-    return pulled["text"].to_pylist(), pulled["__y"].to_numpy().astype(np.int64), found.get(1, 0) / total
+    return table.drop("__n"), found.get(1, 0) / total
+
+
+def fitted(sample: DataFrame | None, train: Callable[[list[str], np.ndarray], object]) -> object:
+    """The model that `train` makes of the sample's texts and labels, in order of their ids.
+
+    It runs as one task on an executor over the bounded sample; only the model comes back.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held)
+            rows = rows.take(np.argsort(rows["doc_id"].to_numpy(), kind="stable"))
+            model = train(rows["text"].to_pylist(), rows["__y"].to_numpy().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    made = sample.repartition(1).mapInArrow(run, "model binary").collect() if sample is not None else []
+    return pickle.loads(made[0][0]) if made else train([], np.zeros(0, np.int64))
