@@ -301,10 +301,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, floor_share: float =
 
 def distinct(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that stay, one of each class, with their columns. Ids must tell documents apart; of rows that repeat one, one stays."""
-    gone = classes(docs, threshold).where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(0)).alias("__gone")).distinct()
-    gone = common.written(gone, "gone")
-    marked = common.with_maybe(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), gone, "__maybe")
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    gone = common.written(classes(docs, threshold).where(~F.col("kept")).select(own.alias("__gone")).distinct(), "gone")
+    marked = common.with_maybe(docs.withColumn("__own", own), F.col("__own"), gone, "__maybe")
     sure = marked.where(~F.col("__maybe")).select(*docs.columns)
-    some = marked.where("__maybe")
-    left = some.join(gone, F.coalesce(some["doc_id"].cast("long"), F.lit(0)) == gone["__gone"], "left_anti").select(*docs.columns)
+    left = marked.where("__maybe").join(gone, F.col("__own") == F.col("__gone"), "left_anti").select(*docs.columns)
     return sure.unionByName(left)
