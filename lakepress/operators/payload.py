@@ -42,64 +42,84 @@ def _string(v: Column, name: str) -> Column:
     return F.when(_is(inner, "STRING"), _text(v, f"$.{name}"))
 
 
-def messages(requests: DataFrame) -> DataFrame:
-    """One row for each message of a request in a known dialect: payload_id, api, message, m, role and turn flags."""
+def _with_messages(requests: DataFrame) -> DataFrame:
+    """Requests of a known shape with their array of messages `ms`, roles, and the last user and assistant message (-1: none)."""
     parsed = requests.select("payload_id", "api", F.try_parse_json("payload").alias("v")).where(F.col("api").isin(*APIS))
     listed = F.when(F.col("api") == "openai-responses", _field(F.col("v"), "input")).otherwise(_field(F.col("v"), "messages"))
-    rows = parsed.select("payload_id", "api", F.posexplode(_array(listed)).alias("message", "m")).withColumn("role", _string(F.col("m"), "role"))
-    typed = F.when(F.col("api") == "openai-responses", F.when(_string(F.col("m"), "type") == "message", F.col("role"))).otherwise(F.col("role"))
-    return session.with_turn_flags(rows.withColumn("__role", typed), role="__role").drop("__role")
+    rows = parsed.withColumn("ms", _array(listed)).where("ms is not null").drop("v")
+    responses = F.col("api") == "openai-responses"
+    role = lambda m: F.when(~responses | F.coalesce(_string(m, "type") == "message", F.lit(False)), _string(m, "role"))
+    rows = rows.withColumn("roles", F.transform("ms", lambda m, i: F.struct(i.alias("i"), role(m).alias("role"))))
+    last = lambda who: F.coalesce(F.array_max(F.transform(F.filter("roles", lambda r: r["role"] == who), lambda r: r["i"])), F.lit(-1))
+    return rows.withColumns({"last_user": last("user"), "last_assistant": last("assistant")})
+
+
+_CALL = "array<struct<call_id:string,name:string>>"
+
+
+def _calls(m: Column) -> Column:
+    """(call_id, name) of the tool calls in a message, in order."""
+    api = F.col("api")
+    none = F.array().cast(_CALL)
+    use = F.transform(F.filter(_array(_field(m, "content")), lambda p: _string(p, "type") == "tool_use"), lambda p: F.struct(_string(p, "id").alias("call_id"), _string(p, "name").alias("name")))
+    calls = F.transform(_array(_field(m, "tool_calls")), lambda p: F.struct(_string(p, "id").alias("call_id"), F.when(_is(F.try_variant_get(p, "$.function.name", "variant"), "STRING"), _text(p, "$.function.name")).alias("name")))
+    item = F.when(_string(m, "type") == "function_call", F.array(F.struct(_string(m, "call_id").alias("call_id"), _string(m, "name").alias("name"))))
+    return F.coalesce(F.when(api == APIS[0], use).when(api == APIS[1], calls).otherwise(item), none)
+
+
+def _part(part: Column | int, kind: str, content: Column | str, text: Column, call: Column | None = None) -> Column:
+    return F.struct(
+        (F.lit(part) if isinstance(part, int) else part).cast("int").alias("part"),
+        F.lit(kind).alias("kind"),
+        (F.lit(content) if isinstance(content, str) else content).alias("content_kind"),
+        text.alias("text"),
+        (call if call is not None else F.lit(None).cast("string")).alias("call_id"),
+    )
+
+
+_PARTS = "array<struct<part:int,kind:string,content_kind:string,text:string,call_id:string>>"
 
 
-def _tool_names(rows: DataFrame) -> DataFrame:
-    """(payload_id, call_id, name): of a call id that comes twice the later."""
-    m = F.col("m")
-    use = rows.where("api = 'anthropic-messages'").select("payload_id", "message", F.posexplode(_array(_field(m, "content"))).alias("part", "p"))
-    use = use.where(_string(F.col("p"), "type") == "tool_use").select("payload_id", "message", "part", _string(F.col("p"), "id").alias("call_id"), _string(F.col("p"), "name").alias("name"))
-    calls = rows.where("api = 'openai-completions'").select("payload_id", "message", F.posexplode(_array(_field(m, "tool_calls"))).alias("part", "p"))
-    calls = calls.select("payload_id", "message", "part", _string(F.col("p"), "id").alias("call_id"), F.when(_is(F.try_variant_get("p", "$.function.name", "variant"), "STRING"), _text(F.col("p"), "$.function.name")).alias("name"))
-    items = rows.where((F.col("api") == "openai-responses") & (_string(m, "type") == "function_call")).select("payload_id", "message", F.lit(0).alias("part"), _string(m, "call_id").alias("call_id"), _string(m, "name").alias("name"))
-    found = use.unionByName(calls).unionByName(items).where("call_id is not null and name is not null")
-    return found.groupBy("payload_id", "call_id").agg(F.max_by("name", F.struct("message", "part")).alias("name"))
+def _parts(m: Column, role: Column, parts: Column) -> Column:
+    """The text parts of a message, by dialect; parts: its content as an array, or null."""
+    api = F.col("api")
+    content = _field(m, "content")
+    user, none = role == "user", F.array().cast(_PARTS)
+    whole = F.when(user & (api != APIS[2]) & _is(content, "STRING"), F.array(_part(0, "user", "string", _text(m, "$.content"))).cast(_PARTS))
 
+    def inside(p: Column, i: Column) -> Column:
+        inner = _field(p, "content")
+        listed = _array(inner)
+        mixed = F.exists(listed, lambda x: _is(x, "OBJECT") & ~F.coalesce(_string(x, "type") == "text", F.lit(False)))
+        joined = F.array_join(F.filter(F.transform(listed, lambda x: _string(x, "text")), lambda t: t.isNotNull() & (t != "")), "\n")
+        result = F.when(listed.isNull(), F.when(_is(inner, "STRING"), _text(p, "$.content"))).when(~mixed, joined)
+        kind = _string(p, "type")
+        wanted = F.when(api == APIS[2], F.lit("input_text")).otherwise(F.lit("text"))
+        as_tool = _part(i, "tool", F.when(listed.isNotNull(), "array").otherwise("string"), result, _string(p, "tool_use_id"))
+        as_user = _part(i, "user", "array", _string(p, "text"))
+        return F.when((api == APIS[0]) & (kind == "tool_result"), as_tool).when(user & (kind == wanted), as_user)
 
-_BLOCK = ["payload_id", "api", "message", "part", "kind", "content_kind", "text", "call_id", "is_newest_user", "is_current_turn"]
+    listed = F.when(role.isin("user", "assistant"), F.transform(parts, inside)).cast(_PARTS)
+    tool = F.when((api == APIS[1]) & (role == "tool") & _is(content, "STRING"), F.array(_part(0, "tool", "string", _text(m, "$.content"), _string(m, "tool_call_id"))).cast(_PARTS))
+    output = F.when((api == APIS[2]) & (_string(m, "type") == "function_call_output") & _is(_field(m, "output"), "STRING"), F.array(_part(0, "tool", "string", _text(m, "$.output"), _string(m, "call_id"))).cast(_PARTS))
+    return F.filter(F.coalesce(whole, listed, tool, output, none), lambda x: x["text"].isNotNull() & (x["text"] != ""))
 
 
 def blocks(requests: DataFrame) -> DataFrame:
-    """Text blocks of all requests, with is_shell_tool; requests of other shapes have none."""
-    rows = messages(requests)
-    m, content = F.col("m"), _field(F.col("m"), "content")
-    base = ["payload_id", "api", "message", "role", "m", "is_newest_user", "is_current_turn"]
-    null = F.lit(None).cast("string")
-
-    whole = rows.where(F.col("api") != "openai-responses").where((F.col("role") == "user") & _is(content, "STRING"))
-    whole = whole.select(*base, F.lit(0).alias("part"), F.lit("user").alias("kind"), F.lit("string").alias("content_kind"), _text(m, "$.content").alias("text"), null.alias("call_id"))
-
-    parts = rows.select(*base, F.posexplode(_array(content)).alias("part", "p"))
-    p, kind = F.col("p"), _string(F.col("p"), "type")
-    wanted = F.when(F.col("api") == "openai-responses", F.lit("input_text")).otherwise(F.lit("text"))
-    message = F.when(F.col("api") == "openai-responses", _string(m, "type") == "message").otherwise(F.lit(True))
-    user = parts.where((F.col("role") == "user") & message & (kind == wanted)).select(*base, "part", F.lit("user").alias("kind"), F.lit("array").alias("content_kind"), _string(p, "text").alias("text"), null.alias("call_id"))
-
-    inner = _field(p, "content")
-    listed = _array(inner)
-    pure = ~F.exists(F.coalesce(listed, F.array().cast("array<variant>")), lambda x: _is(x, "OBJECT") & ~F.coalesce(_string(x, "type") == "text", F.lit(False)))
-    joined = F.array_join(F.filter(F.transform(listed, lambda x: _string(x, "text")), lambda t: t.isNotNull() & (t != "")), "\n")
-    results = parts.where((F.col("api") == "anthropic-messages") & F.col("role").isin("user", "assistant") & (kind == "tool_result") & pure)
-    results = results.select(*base, "part", F.lit("tool").alias("kind"), F.when(listed.isNotNull(), "array").otherwise("string").alias("content_kind"), F.when(listed.isNotNull(), joined).when(_is(inner, "STRING"), _text(p, "$.content")).alias("text"), _string(p, "tool_use_id").alias("call_id"))
-
-    tool = rows.where((F.col("api") == "openai-completions") & (F.col("role") == "tool") & _is(content, "STRING"))
-    tool = tool.select(*base, F.lit(0).alias("part"), F.lit("tool").alias("kind"), F.lit("string").alias("content_kind"), _text(m, "$.content").alias("text"), _string(m, "tool_call_id").alias("call_id")).withColumn("is_newest_user", F.lit(False))
-    output = rows.where((F.col("api") == "openai-responses") & (_string(m, "type") == "function_call_output") & _is(_field(m, "output"), "STRING"))
-    output = output.select(*base, F.lit(0).alias("part"), F.lit("tool").alias("kind"), F.lit("string").alias("content_kind"), _text(m, "$.output").alias("text"), _string(m, "call_id").alias("call_id")).withColumn("is_newest_user", F.lit(False))
-
-    found = whole.select(*_BLOCK)
-    for other in (user, results, tool, output):
-        found = found.unionByName(other.select(*_BLOCK))
-    found = found.where("text is not null and text <> ''")
-    named = found.join(_tool_names(rows), ["payload_id", "call_id"], "left")
-    return named.withColumn("is_shell_tool", (F.col("kind") == "tool") & is_shell_tool(F.col("name"))).select(*[c for c in _BLOCK if c != "call_id"], "is_shell_tool")
+    """Text blocks of all requests, with is_shell_tool; requests of other shapes have none.
+
+    Each request is parsed once and stays in its row until its blocks are rows; nothing is exchanged.
+    """
+    rows = _with_messages(requests).withColumn("calls", F.filter(F.flatten(F.transform("ms", _calls)), lambda c: c["call_id"].isNotNull() & c["name"].isNotNull()))
+    rows = rows.select("payload_id", "api", "roles", "calls", "last_user", "last_assistant", F.posexplode("ms").alias("message", "m"))
+    rows = rows.withColumn("role", F.get("roles", F.col("message"))["role"]).withColumn("own", _array(_field(F.col("m"), "content")))
+    rows = rows.withColumn("found", _parts(F.col("m"), F.col("role"), F.col("own")))
+    rows = rows.select("payload_id", "api", "message", "calls", "last_user", "last_assistant", F.explode("found").alias("b")).select("*", "b.*")
+    name = F.get(F.reverse(F.filter("calls", lambda c: c["call_id"] == F.col("call_id"))), F.lit(0))["name"]
+    newest = (F.col("message") == F.col("last_user")) & ((F.col("kind") == "user") | (F.col("api") == APIS[0]))
+    return rows.select(
+        "payload_id", "api", "message", "part", "kind", "content_kind", "text", newest.alias("is_newest_user"), (F.col("message") > F.col("last_assistant")).alias("is_current_turn"), ((F.col("kind") == "tool") & is_shell_tool(name)).alias("is_shell_tool")
+    )
 
 
 @F.pandas_udf(StringType())
