@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lakepress.functions import logs, spans, udfs
 from lakepress.functions import text as T
-from lakepress.operators import measure, payload, session, steps
+from lakepress.operators import measure, payload, session, steps, views
 from lakepress.plans import fixtures as X
 from lakepress.plans.config import Config, with_preset
 
@@ -496,6 +496,34 @@ def c7_c8_l2_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.ranked_lanes(solo, "block_id").select("block_id", "engine", "savings_percent", "compressed_tokens", "rejected", "place")
 
 
+@_query(r"SELECT doc_id, length(text) <= 200000 AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' AS playable FROM documents")
+def s15_playable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", views.playable(F.col("text")).alias("playable"))
+
+
+@_query()
+def c7_play(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = views.play(X.log_blocks(spark, sf_dir), with_preset(Config(), "stacked"), "block_id")
+    return done.select("block_id", F.size("steps").alias("n_steps"), "diff_omitted", F.size("diff").alias("diff_rows"), F.size("heat").alias("heat_tokens"), "encodings.winner", F.size("preserved").alias("n_preserved"))
+
+
+@_query(f"SELECT seq, accepted, original_tokens, compressed_tokens FROM ({X.RUNS_SQL}) ORDER BY seq DESC LIMIT 8")
+def l4_recent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.recent(X.runs(spark, sf_dir)).select("seq", "accepted", "original_tokens", "compressed_tokens")
+
+
+_MARK_N = "doc_id % 12 + 1"
+
+
+@_query(
+    f"""SELECT doc_id, '[… ' || CAST({_MARK_N} AS VARCHAR) || ' lines truncated …]' AS truncated, '[… ' || coalesce(['one ', 'two ', 'three ', 'four ', 'five ', 'six ', 'seven ', 'eight ', 'nine '][{_MARK_N}], '') || 'duplicate block' || CASE WHEN {_MARK_N} = 1 THEN '' ELSE 's' END || ' elided …]' AS elided,
+  regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS block FROM documents"""
+)
+def f1_f4_f5_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id") % 12 + 1
+    return _docs(spark, sf_dir).select("doc_id", T.truncated_marker(n).alias("truncated"), T.elided_marker(n).alias("elided"), T.normalize_block(F.substring("text", 1, 60)).alias("block"))
+
+
 # ---------------------------------------------------------------- requests
 
 

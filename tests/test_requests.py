@@ -83,6 +83,15 @@ def test_config(tmp_path):
     assert load(str(tmp_path / "bad.json")) == Config()
 
 
+def test_commands(spark, tmp_path):
+    from lakepress.operators import views
+
+    path = str(tmp_path / "config.json")
+    assert views.switch(path, True).enabled and load(path).enabled and not views.switch(path, False).enabled
+    runs = spark.createDataFrame([(1, True, 1000, 400, None), (2, False, 50, 50, "no-block-changed")], "seq long, accepted boolean, original_tokens long, compressed_tokens long, fallback_reason string")
+    assert views.status(path, runs) == "off · interactive · req 2 · accepted 1 · −60.0% · saved 600 tok"
+
+
 def test_judges(spark):
     pairs = spark.createDataFrame([(1, "see https://a.b/c", "see"), (2, "nothing here", "nothing"), (3, "FOO_BAR x", "x")], "id long, original string, compressed string")
     prices = judge.Prices(1.0, 1.0)
