@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +58,20 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, giving the task's freed memory back to the system: workers are kept for later tasks, and their heaps add up."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return inner
+
+
 def send(spark: SparkSession, value: object, limit: int = BROADCAST_BYTES) -> Broadcast:
     """Broadcast a value after a check of its size."""
     size = len(pickle.dumps(value, protocol=5))
@@ -74,7 +91,7 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def with_maybe(df: DataFrame, key: Column, keys: DataFrame, name: str, bits: int = 1 << 24) -> DataFrame:
-    """`df` with a boolean column `name`: false only where `key` is none of `keys` (one column of long).
+    """`df` with a boolean column `name`: false only where `key` is none of `keys` (one column).
 
     The keys are broadcast as a table of bits, whose size is fixed (2**24 bits are
     2 MB) whatever their number; a bit shared by chance gives a true too many, which an exact join must follow.

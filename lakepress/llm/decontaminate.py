@@ -178,7 +178,7 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
                 yield pa.RecordBatch.from_arrays(out, names_out)
 
     schema = SCHEMA + (", items array<string>, spans array<struct<first: long, end: long>>" if spans else "")
-    return common.texts(docs).mapInArrow(run, schema)
+    return common.texts(docs).mapInArrow(common.trimmed(run), schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -199,7 +199,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
                             keep[i + int(np.searchsorted(words.first, at, "right")) - 1] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.trimmed(run), docs.schema)
 
 
 #: The same rows for DuckDB, by plain joins of word windows.

@@ -205,4 +205,4 @@ def predict(docs: DataFrame, model: Model | None, held_out: int = HELD_OUT) -> D
                 scores.append(np.where(own, np.round(p[np.arange(j - i), best].astype(np.float64), 6), 0.0))  # equal texts in other batches differ in the last bits
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]))], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(common.trimmed(run), SCHEMA)

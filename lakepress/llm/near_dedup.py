@@ -183,7 +183,7 @@ def document_shares(docs: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["k", "n"])
 
-    found = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # 2**16 + 1 rows at most
+    found = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(common.trimmed(run), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # 2**16 + 1 rows at most
     total = np.zeros((1 << DF_BITS) + 1)
     total[found["k"].to_numpy()] = found["n"].to_numpy()
     return total[:-1] / max(1.0, total[-1])
@@ -210,7 +210,7 @@ def _signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(filled)]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(sizes, pa.int64()), lists], ["doc_id", "tid", "shingles", "keys"])
 
-    return rows.mapInArrow(run, "doc_id long, tid long, shingles long, keys array<long>")
+    return rows.mapInArrow(common.trimmed(run), "doc_id long, tid long, shingles long, keys array<long>")
 
 
 def _cells(members: DataFrame, cell_texts: int, cell_shingles: int) -> tuple[DataFrame, DataFrame]:
@@ -263,7 +263,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, floor_share: float =
                 body = [ids[a:b].astype("<u8").tobytes() + weights[a:b].astype("<f4").tobytes() for a, b in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(body, pa.binary())], ["tid", "body"])
 
-    sets = rows.mapInArrow(describe, "tid long, body binary").dropDuplicates(["tid"])
+    sets = rows.mapInArrow(common.trimmed(describe), "tid long, body binary").dropDuplicates(["tid"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, label, tids, held = None, None, [], []
@@ -287,7 +287,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, floor_share: float =
             yield done()
 
     together = cells.join(sets, "tid").select("cell", "tid", "body", "label").repartition("cell").sortWithinPartitions("cell", "tid")
-    compared = common.written(together.mapInArrow(compare, "tid long, first long, label long"), "compared")
+    compared = common.written(together.mapInArrow(common.trimmed(compare), "tid long, first long, label long"), "compared")
     divided = common.written(over, "divided")
     plain = compared.join(divided, "label", "left_anti").select("tid", F.col("first").alias("class"))
     if divided.limit(1).count():

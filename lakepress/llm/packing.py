@@ -119,7 +119,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, with_ids:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return common.texts(docs).mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    return common.texts(docs).mapInArrow(common.trimmed(run), PIECES + (", ids binary" if with_ids else ""))
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = 2, open_bins: int = OPEN_BINS, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
@@ -145,4 +145,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
         if held:
             yield from placed()
 
-    return dealt.mapInArrow(run, PIECES + (", ids binary" if with_ids else "") + ", sequence_id long, offset long")
+    return dealt.mapInArrow(common.trimmed(run), PIECES + (", ids binary" if with_ids else "") + ", sequence_id long, offset long")

@@ -266,7 +266,7 @@ def _rewritten(docs: DataFrame, key: bytes, back: bool) -> DataFrame:
                 kinds.append(",".join(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(kinds, pa.string())], ["doc_id", "text", "n_found", "kinds"])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(common.trimmed(run), SCHEMA)
 
 
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:

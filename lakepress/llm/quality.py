@@ -192,4 +192,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, held_out: int =
             p = np.round(_sigmoid(z.astype(np.float64)), 6)  # equal texts in other batches differ in the last bits
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(common.trimmed(run), SCHEMA)

@@ -66,5 +66,5 @@ def fitted(sample: DataFrame | None, train: Callable[[list[str], np.ndarray], ob
             model = train(rows["text"].to_pylist(), rows["__y"].to_numpy().astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    made = sample.repartition(1).mapInArrow(run, "model binary").collect() if sample is not None else []
+    made = sample.repartition(1).mapInArrow(common.trimmed(run), "model binary").collect() if sample is not None else []
     return pickle.loads(made[0][0]) if made else train([], np.zeros(0, np.int64))

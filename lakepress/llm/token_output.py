@@ -85,7 +85,7 @@ def _plain_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int)
         if names:
             yield row()
 
-    return ordered.drop("hash").mapInArrow(run, _PLAIN)
+    return ordered.drop("hash").mapInArrow(common.trimmed(run), _PLAIN)
 
 
 def _count(plain: DataFrame) -> rans.Table:
@@ -102,7 +102,7 @@ def _count(plain: DataFrame) -> rans.Table:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    found = plain.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each id of the vocabulary at most
+    found = plain.select("ids").mapInArrow(common.trimmed(run), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each id of the vocabulary at most
     return rans.Table.from_counts(found["id"].to_numpy(), found["n"].to_numpy())
 
 
@@ -119,7 +119,7 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(coded, pa.binary())], [*batch.schema.names[:5], "payload"])
 
     path = path or common.shared_folder(spark, "token-files")
-    plain.mapInArrow(run, _CODED).write.option("compression", "zstd").parquet(path)
+    plain.mapInArrow(common.trimmed(run), _CODED).write.option("compression", "zstd").parquet(path)
     common.dropped(plain)
     return Files(path, table)
 
@@ -152,5 +152,5 @@ def read(spark: SparkSession, files: Files, with_ids: bool = False) -> DataFrame
         bases.append((r["shard"], at))
         at += r["n"]
     base = spark.range(1).select(F.explode(F.from_json(F.lit("[" + ",".join(f'{{"s":{s},"b":{b}}}' for s, b in bases) + "]"), "array<struct<s:int,b:bigint>>")).alias("x")).select(F.col("x.s").alias("shard"), F.col("x.b").alias("b"))
-    found = coded.mapInArrow(run, schema).join(F.broadcast(base), "shard")
+    found = coded.mapInArrow(common.trimmed(run), schema).join(F.broadcast(base), "shard")
     return found.select("doc_id", (F.col("b") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from lakepress.llm.bytesops import HashIndex, groups, hash_spans
 
 #: Distinct cuts that a worker keeps; beyond it the table begins anew. It bounds memory (about 40 bytes a cut), not results.
-KEPT_CUTS = 1 << 21
+KEPT_CUTS = 1 << 19
 
 #: What a byte may be, as bits: white space to cut before; any white space or a separator control; ASCII letter or digit;
 #: ASCII punctuation to cut before; part of a longer character; last byte of U+0085 or U+00A0; lead of white space of three bytes.

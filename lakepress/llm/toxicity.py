@@ -260,7 +260,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, held_out: int =
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(common.trimmed(run), SCHEMA)
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -276,4 +276,4 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             z = np.concatenate([np.zeros(0)] + [scorer.logits(data, offsets) for _, _, data, offsets in groups(batch.column(place))])
             yield batch.filter(pa.array(z < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.trimmed(run), docs.schema)
