@@ -27,7 +27,7 @@ def tokens(text: str) -> int:
 
 def units(text: str) -> int:
     """Length in UTF-16 code units."""
-    return len(text) + sum(c > "￿" for c in text)
+    return len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
 def truncate(text: str) -> tuple[str, int]:
