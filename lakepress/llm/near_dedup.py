@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakepress.llm import common
@@ -164,8 +164,8 @@ def linked(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> np.nd
         label = new
 
 
-def _text_id():
-    return F.xxhash64(F.sha2(F.encode("text", "UTF-8"), 256))
+def _text_id(text: str | Column = "text") -> Column:
+    return F.xxhash64(F.sha2(F.encode(text, "UTF-8"), 256))
 
 
 def document_shares(docs: DataFrame) -> np.ndarray:
@@ -238,8 +238,8 @@ def _cells(members: DataFrame, cell_texts: int, cell_shingles: int) -> tuple[Dat
     return cells, over
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, floor_share: float = FLOOR_SHARE, cell_texts: int = CELL_TEXTS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
-    """doc_id, class_id (the class's smallest doc_id), class_size, kept for each row."""
+def _members(docs: DataFrame, threshold: float = THRESHOLD, floor_share: float = FLOOR_SHARE, cell_texts: int = CELL_TEXTS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """doc_id, tid (the text's), class (the same for all texts of one) for each row."""
     spark = docs.sparkSession
     common.small_batches(spark)
     idf = inverse_frequencies(document_shares(docs), floor_share)
@@ -294,16 +294,28 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, floor_share: float =
         again = components(compared.join(divided, "label", "left_semi").where("tid != first").select("tid", "first"))
         plain = plain.unionByName(again.select(F.col("node").alias("tid"), F.col("label").alias("class")))
 
-    joined = signed.select("doc_id", "tid").join(plain, "tid", "left").select("doc_id", F.coalesce("class", "tid").alias("class"))
+    return signed.select("doc_id", "tid").join(plain, "tid", "left").select("doc_id", "tid", F.coalesce("class", "tid").alias("class"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, floor_share: float = FLOOR_SHARE, cell_texts: int = CELL_TEXTS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """doc_id, class_id (the class's smallest doc_id), class_size, kept for each row."""
+    joined = _members(docs, threshold, floor_share, cell_texts, cell_shingles).select("doc_id", "class")
     answers = joined.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return joined.join(answers, "class").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def distinct(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that stay, one of each class, with their columns. Ids must tell documents apart; of rows that repeat one, one stays."""
-    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    gone = common.written(classes(docs, threshold).where(~F.col("kept")).select(own.alias("__gone")).distinct(), "gone")
-    marked = common.with_maybe(docs.withColumn("__own", own), F.col("__own"), gone, "__maybe")
+    """The documents that stay, one of each class, with their columns: the smallest id (nulls last), of its texts the smallest text id.
+
+    Rows are told apart by id and text; those that repeat both stay or go together.
+    """
+    rows = _members(docs, threshold)
+    first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tid")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tid") == F.col("first.tid"))
+    own = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    gone = common.written(rows.join(first, "class").where(~stays).select(own.alias("__gone"), F.col("tid").alias("__text")).distinct(), "gone")
+    marked = common.with_maybe(docs.withColumn("__own", own), F.col("__own"), gone.select("__gone"), "__maybe")
     sure = marked.where(~F.col("__maybe")).select(*docs.columns)
-    left = marked.where("__maybe").join(gone, F.col("__own") == F.col("__gone"), "left_anti").select(*docs.columns)
+    maybe = marked.where("__maybe").withColumn("__tid", _text_id(F.coalesce("text", F.lit(""))))
+    left = maybe.join(gone, (F.col("__own") == F.col("__gone")) & (F.col("__tid") == F.col("__text")), "left_anti").select(*docs.columns)
     return sure.unionByName(left)

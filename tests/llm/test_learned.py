@@ -185,6 +185,18 @@ def test_near_copies(spark, copies):
     assert near_dedup.classes(copies.limit(0)).count() == near_dedup.distinct(copies.limit(0)).count() == 0
 
 
+def test_copies_go_by_id_and_text(spark):
+    """Unique rows stay where another row of their id, or without one, is a near copy; one of each class stays."""
+    vocabulary = words("abcdefghij", 500)
+    base, other, *unique = [[RNG.choice(vocabulary) for _ in range(150)] for _ in range(6)]
+    near = [" ".join(edited(x, 1)) for x in (base, base, other, other)]
+    lone = [" ".join(x) for x in unique]
+    rows = [(1, " ".join(base)), (None, near[0]), (None, lone[0]), (None, lone[1]), (7, near[1]), (7, lone[2]), (8, lone[3]), (None, near[2]), (None, near[3])]
+    kept = [(r.doc_id, r.text) for r in near_dedup.distinct(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum(t in near[2:] for _, t in kept) == 1  # a class without ids
+    assert {x for x in kept if x[1] not in near[2:]} == {(1, " ".join(base)), (None, lone[0]), (None, lone[1]), (7, lone[2]), (8, lone[3])} and len(kept) == 6
+
+
 def test_sampling_estimates_weighted_similarity():
     rng = np.random.default_rng(2)
     ids = np.arange(1, 401, dtype=np.uint64) * np.uint64(7919)
