@@ -18,8 +18,8 @@ large group of copies would otherwise take the weight from its own text.
    make the classes. A cell holds at most CELL_TEXTS texts and CELL_SHINGLES
    shingles. A component beyond that is divided into cells by its bands, a band
    beyond it by two bands at once, and what is still too large (thousands of texts equal in
-   six samples) by hash, where each cell also holds the same few texts of the
-   whole; the links of all its cells are then joined again.
+   six samples) by hash into parts, where every two parts are a cell; the links of
+   all its cells are then joined again.
 
 Equal texts are one node (by 64 bits of their SHA-256), so copies cost one row
 each. Null counts as the empty text; texts without words are alone, but for
@@ -49,7 +49,6 @@ BANDS, ROWS = 10, 3
 DF_BITS = 16
 FLOOR_SHARE = 1 / 16
 CELL_TEXTS, CELL_SHINGLES = 2_000, 4_000_000
-SHARED_TEXTS = 16
 
 _DRAWS_BITS = 16
 _rng = np.random.Generator(np.random.PCG64(97))
@@ -213,6 +212,19 @@ def _signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return rows.mapInArrow(common.trimmed(run), "doc_id long, tid long, shingles long, keys array<long>")
 
 
+def _parted(sized: DataFrame, cell_texts: int, cell_shingles: int) -> DataFrame:
+    """Cells over the limits, and into how many parts each goes, so that two of them are a cell within the limits."""
+    parts = F.ceil(F.greatest(F.col("n") / (cell_texts / 2), F.col("m") / (cell_shingles / 2)))
+    return sized.select("cell", F.greatest(F.lit(2), F.least(parts, F.col("n"))).cast("long").alias("parts"))
+
+
+def _pairs_of_parts(rows: DataFrame) -> DataFrame:
+    """(cell, tid, label) for every two parts (by hash) of each cell: any two texts of a cell meet."""
+    own = rows.withColumn("p", F.pmod(F.xxhash64("tid"), F.col("parts")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: q != F.col("p"))
+    return own.select("cell", "tid", "label", "p", F.explode(others).alias("q")).select(F.xxhash64("cell", F.least("p", "q"), F.greatest("p", "q")).alias("cell"), "tid", "label")
+
+
 def _cells(members: DataFrame, cell_texts: int, cell_shingles: int) -> tuple[DataFrame, DataFrame]:
     """(cell, tid, label) rows of bounded cells; the label is the component's. Second: labels of divided components."""
     large = (F.col("n") > cell_texts) | (F.col("m") > cell_shingles)
@@ -227,14 +239,10 @@ def _cells(members: DataFrame, cell_texts: int, cell_shingles: int) -> tuple[Dat
     first = one.join(over1, "cell", "left_anti").select("cell", "tid", "label")
     two = one.join(over1, "cell").select("tid", "label", "shingles", "key", F.explode("keys").alias("other")).where("other != key")
     two = two.withColumn("cell", F.xxhash64("label", F.least("key", "other"), F.greatest("key", "other"))).dropDuplicates(["cell", "tid"])
-    sized = two.groupBy("cell").agg(*measure).where(large).withColumn("parts", F.ceil(F.greatest(F.col("n") / (cell_texts - SHARED_TEXTS), F.col("m") / (cell_shingles / 2))).cast("int"))
-    second = two.join(sized.select("cell"), "cell", "left_anti").select("cell", "tid", "label")
-    rest = two.join(sized.select("cell", "n", "parts"), "cell")
-    own = rest.select(F.xxhash64("cell", F.pmod(F.xxhash64("tid"), F.col("parts"))).alias("part"), "cell", "tid", "label", "n", "parts")
-    shared = own.where(F.pmod(F.xxhash64("tid", F.lit(3)), F.greatest(F.lit(1), F.floor(F.col("n") / SHARED_TEXTS).cast("long"))) == 0)
-    shared = shared.select("cell", "tid", "label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p")).select(F.xxhash64("cell", F.col("p").cast("long")).alias("part"), "tid", "label")
-    third = own.select(F.xxhash64("cell", F.pmod(F.xxhash64("tid"), F.col("parts")).cast("long")).alias("part"), "tid", "label").unionByName(shared).dropDuplicates(["part", "tid"])
-    cells = whole.unionByName(first).unionByName(second).unionByName(third.withColumnRenamed("part", "cell"))
+    over2 = _parted(two.groupBy("cell").agg(*measure).where(large), cell_texts, cell_shingles)
+    second = two.join(over2, "cell", "left_anti").select("cell", "tid", "label")
+    third = _pairs_of_parts(two.join(over2, "cell"))
+    cells = whole.unionByName(first).unionByName(second).unionByName(third)
     return cells, over
 
 

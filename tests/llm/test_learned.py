@@ -185,6 +185,29 @@ def test_near_copies(spark, copies):
     assert near_dedup.classes(copies.limit(0)).count() == near_dedup.distinct(copies.limit(0)).count() == 0
 
 
+def apart(spark, keys, limits):
+    """Pairs of texts with these band keys (one component) that no cell holds both of, and the size of the largest cell."""
+    members = spark.createDataFrame([(t, 10, own, 0) for t, own in enumerate(keys)], "tid long, shingles long, keys array<long>, label long")
+    cells = defaultdict(set)
+    for r in near_dedup._cells(members, *limits)[0].collect():
+        cells[r.cell].add(r.tid)
+    met = {(a, b) for own in cells.values() for a in own for b in own if a < b}
+    return len(keys) * (len(keys) - 1) // 2 - len(met), max(map(len, cells.values()))
+
+
+@pytest.mark.parametrize("limits", [(25, 10**6), (1000, 250)])
+def test_all_texts_of_two_bands_meet(spark, limits):
+    lost, most = apart(spark, [[1, 2, 1000 + t] for t in range(100)], limits)
+    assert lost == 0 and most <= 45
+
+
+def test_divided_components_lose_no_class(spark, copies):
+    got = defaultdict(list)
+    for r in near_dedup.classes(copies, cell_texts=25, cell_shingles=3_000).collect():
+        got[r.class_id].append((r.doc_id is None, r.doc_id or 0))
+    assert sorted(sorted(v) for v in got.values()) == all_pairs(copies)
+
+
 def test_copies_go_by_id_and_text(spark):
     """Unique rows stay where another row of their id, or without one, is a near copy; one of each class stays."""
     vocabulary = words("abcdefghij", 500)
