@@ -16,10 +16,10 @@ large group of copies would otherwise take the weight from its own text.
 3. The sets of texts in components are brought together, cell by cell, and each
    pair's weighted Jaccard similarity is computed; links of at least `threshold`
    make the classes. A cell holds at most CELL_TEXTS texts and CELL_SHINGLES
-   shingles. A component beyond that is divided into cells by its bands, a band
-   beyond it by two bands at once, and what is still too large (thousands of texts equal in
-   six samples) by hash into parts, where every two parts are a cell; the links of
-   all its cells are then joined again.
+   shingles. A component beyond that is divided into cells by its bands, and a
+   band beyond it by hash into parts, where every two parts are a cell: all texts that
+   share a band are compared, at a cost that grows with the square of such a band's texts.
+   The links of all its cells are then joined again.
 
 Equal texts are one node (by 64 bits of their SHA-256), so copies cost one row
 each. Null counts as the empty text; texts without words are alone, but for
@@ -233,16 +233,11 @@ def _cells(members: DataFrame, cell_texts: int, cell_shingles: int) -> tuple[Dat
     over = sizes.where(large).select("label")
     whole = members.join(over, "label", "left_anti").select(F.col("label").alias("cell"), "tid", "label")
     divided = members.join(over, "label")
-    one = divided.select("tid", "label", "shingles", "keys", F.explode("keys").alias("key"))
-    one = one.withColumn("cell", F.xxhash64("label", "key"))
-    over1 = one.groupBy("cell").agg(*measure).where(large).select("cell")
+    one = divided.select("tid", "label", "shingles", F.explode("keys").alias("key")).withColumn("cell", F.xxhash64("label", "key"))
+    over1 = _parted(one.groupBy("cell").agg(*measure).where(large), cell_texts, cell_shingles)
     first = one.join(over1, "cell", "left_anti").select("cell", "tid", "label")
-    two = one.join(over1, "cell").select("tid", "label", "shingles", "key", F.explode("keys").alias("other")).where("other != key")
-    two = two.withColumn("cell", F.xxhash64("label", F.least("key", "other"), F.greatest("key", "other"))).dropDuplicates(["cell", "tid"])
-    over2 = _parted(two.groupBy("cell").agg(*measure).where(large), cell_texts, cell_shingles)
-    second = two.join(over2, "cell", "left_anti").select("cell", "tid", "label")
-    third = _pairs_of_parts(two.join(over2, "cell"))
-    cells = whole.unionByName(first).unionByName(second).unionByName(third)
+    second = _pairs_of_parts(one.join(over1, "cell"))
+    cells = whole.unionByName(first).unionByName(second)
     return cells, over
 
 

@@ -201,6 +201,11 @@ def test_all_texts_of_two_bands_meet(spark, limits):
     assert lost == 0 and most <= 45
 
 
+def test_all_texts_of_one_band_meet(spark):
+    lost, most = apart(spark, [[1, *range(1000 * t + 1000, 1000 * t + 1009)] for t in range(100)], (25, 10**6))
+    assert lost == 0 and most <= 45
+
+
 def test_divided_components_lose_no_class(spark, copies):
     got = defaultdict(list)
     for r in near_dedup.classes(copies, cell_texts=25, cell_shingles=3_000).collect():
