@@ -1,8 +1,9 @@
 """Format-preserving pseudonyms for personal data, by a keyed Feistel permutation.
 
 Values are found by their format and validated (card numbers by Luhn, IBANs by
-modulus 97, dates by the calendar, telephone and social security numbers by
-their numbering plans, addresses by octets).  A valid value is a number below N,
+modulus 97, dates by the calendar in either order of day and month, social security
+numbers by their numbering plan, addresses by octets). Telephone numbers are taken as
+written: ten digits in American form, or 8 to 15 after +, where the country's code stays.  A valid value is a number below N,
 the count of valid values of its kind and format; an unbalanced Feistel network
 of ten rounds over a x b >= N, walked until the result is below N, permutes them,
 with the kind, the format and the key as the round function's input.  So a
@@ -13,7 +14,8 @@ restore() is the inverse for the holder of the key.
 Kinds: card, iban, phone, ssn, ip, date, email (letters and digits of the local
 part, each within its kind), key (access key ids), secret (hexadecimal values after
 password, token, secret or key). Values that overlap: the first that begins, and of
-those the kind first in that list. What does not validate stays.
+those the kind first in that list. What does not validate stays, as do telephone
+numbers of other countries without +, and dates outside 1900 to 2099.
 
 A null text stays null and counts as empty; rows that repeat are treated alike;
 an empty table gives an empty result. Texts are read whole.
@@ -21,6 +23,7 @@ an empty table gives an empty result. Texts are read whole.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import math
@@ -38,6 +41,9 @@ SCHEMA = "doc_id long, text string, n_found long, kinds string"
 
 _UPPER, _LOWER, _DIGITS, _HEX = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
 _EPOCH, _DAYS = datetime.date(1900, 1, 1), 73_049  # 1900-01-01 to 2099-12-31
+_LATE = [k for k in range(_DAYS) if (_EPOCH + datetime.timedelta(days=k)).day > 12]
+#: Country codes of one and two digits; all others have three.
+_CALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
 class Feistel:
@@ -131,19 +137,20 @@ def _iban(text: str) -> Coded | None:
     return n, x, write
 
 
-def _phone(text: str) -> Coded | None:
+def _phone(text: str) -> Coded:
     digits = re.sub(r"\D", "", text)
     head, own = digits[:-10], digits[-10:]
-    if own[0] < "2" or own[3] < "2":
-        return None
-    x = ((int(own[:3]) - 200) * 800 + int(own[3:6]) - 200) * 10_000 + int(own[6:])
+    return 10**10, int(own), lambda y: _write(text, f"{head}{y:010d}")
 
-    def write(y: int) -> str:
-        y, line = divmod(y, 10_000)
-        area, office = divmod(y, 800)
-        return _write(text, f"{head}{area + 200}{office + 200}{line:04d}")
 
-    return 800 * 800 * 10_000, x, write
+def _abroad(text: str) -> Coded | None:
+    """A number with + before it: the country's code stays."""
+    digits = re.sub(r"\D", "", text)
+    code = next(k for k in (1, 2, 3) if k == 3 or digits[:k] in _CALLING)
+    size = len(digits) - code
+    if not 8 <= len(digits) <= 15:
+        return None
+    return 10**size, int(digits[code:]), lambda y: _write(text, digits[:code] + str(y).zfill(size))
 
 
 def _ssn(text: str) -> Coded | None:
@@ -161,29 +168,42 @@ def _ssn(text: str) -> Coded | None:
 
 
 def _ip(text: str) -> Coded | None:
-    parts = [int(p) for p in text.split(".")]
-    if max(parts) > 255 or not 1 <= parts[0] <= 223 or any(len(p) > 1 and p[0] == "0" for p in text.split(".")):
+    """Octets up to 255; one that is written with zeros before it keeps its length and a zero at the front."""
+    parts = text.split(".")
+    if max(int(p) for p in parts) > 255:
         return None
-    x = ((parts[0] - 1) * 256 + parts[1]) * 65_536 + parts[2] * 256 + parts[3]
-    return 223 << 24, x, lambda y: f"{(y >> 24) + 1}.{y >> 16 & 255}.{y >> 8 & 255}.{y & 255}"
+    sizes = [10 ** (len(p) - 1) if len(p) > 1 and p[0] == "0" else 256 for p in parts]
+    n, x = 1, 0
+    for p, size in zip(parts, sizes):
+        n, x = n * size, x * size + int(p)
+
+    def write(y: int) -> str:
+        out = []
+        for p, size in zip(parts[::-1], sizes[::-1]):
+            y, k = divmod(y, size)
+            out.append(str(k) if size == 256 else str(k).zfill(len(p)))
+        return ".".join(reversed(out))
+
+    return n, x, write
 
 
 def _date(text: str) -> Coded | None:
+    """A day of 1900 to 2099; where day and month are only valid in the other order, one of those whose day is over 12."""
     a, b, c = (int(p) for p in re.split(r"\D", text))
     mark = next(m for m in text if not m.isdigit())
-    try:
-        day = datetime.date(a, b, c) if mark == "-" else datetime.date(c, b, a) if mark == "." else datetime.date(c, a, b)
-    except ValueError:
-        return None
-    x = (day - _EPOCH).days
-    if not 0 <= x < _DAYS:
-        return None
-
-    def write(y: int) -> str:
-        d = _EPOCH + datetime.timedelta(days=y)
-        return f"{d:%Y-%m-%d}" if mark == "-" else f"{d:%d.%m.%Y}" if mark == "." else f"{d:%m/%d/%Y}"
-
-    return _DAYS, x, write
+    usual, swapped = ((a, b, c), None) if mark == "-" else ((c, b, a), (c, a, b)) if mark == "." else ((c, a, b), (c, b, a))
+    for other, parts in enumerate((usual, swapped)):
+        try:
+            day = datetime.date(*parts) if parts else None
+        except ValueError:
+            continue
+        if day is None or not 0 <= (x := (day - _EPOCH).days) < _DAYS:
+            return None
+        form = "%Y-%m-%d" if mark == "-" else f"%d{mark}%m{mark}%Y" if (mark == ".") != bool(other) else f"%m{mark}%d{mark}%Y"
+        if other:
+            return len(_LATE), bisect.bisect_left(_LATE, x), lambda y: (_EPOCH + datetime.timedelta(days=_LATE[y])).strftime(form)
+        return _DAYS, x, lambda y: (_EPOCH + datetime.timedelta(days=y)).strftime(form)
+    return None
 
 
 def _email(text: str) -> Coded | None:
@@ -206,6 +226,7 @@ KINDS: list[tuple[str, re.Pattern[str], Callable[[str], Coded | None]]] = [
     ("card", re.compile(r"(?<![\w.-])(\d(?:[ -]?\d){12,18})(?![\w-])"), _card),
     ("iban", re.compile(r"(?<!\w)([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"), _iban),
     ("phone", re.compile(r"(?<![\w(+-])((?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w-])"), _phone),
+    ("phone", re.compile(r"(?<![\w(+-])(\+[1-9]\d{0,2}(?:[ ./-]?(?:\(\d{1,5}\)|\d{1,14})){1,6})(?![\w@-])"), _abroad),
     ("ssn", re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])"), _ssn),
     ("ip", re.compile(r"(?<![\w.])(\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\d)"), _ip),
     ("date", re.compile(r"(?<![\w./-])(\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-]|\.\d)"), _date),

@@ -210,6 +210,22 @@ def test_pseudonyms(spark, odd):
     assert pseudonyms.pseudonymise(frame.limit(0), b"k").count() == 0
 
 
+def test_every_written_value_gets_a_pseudonym():
+    values = ["+1 (017) 555-7713", "110-155-0000", "248.40.198.62", "0.0.0.0", "255.255.255.255", "010.001.2.03", "31/12/2020", "12/31/2020", "02/03/2020", "31.12.2020", "12.31.2020", "+49 30 1234567", "+442079460958", "+33 1 23 45 67 89", "+380 (44) 123-45-67"]
+    kinds = ["phone"] * 2 + ["ip"] * 4 + ["date"] * 5 + ["phone"] * 4
+    finder = pseudonyms.Pseudonyms(b"k")
+    for value, kind in zip(values, kinds):
+        seen = {value}
+        for _ in range(20):
+            new, found = finder.replace(f"x {value}, y")
+            assert found == [kind]
+            assert finder.replace(new, True)[0] == f"x {value}, y"
+            value = new[2:-3]
+            seen.add(value)
+        assert len(seen) > 10
+    assert finder.replace("256.1.1.1 and 31/02/2020 and 13/13/2020 and +1234")[1] == []
+
+
 def test_feistel_is_a_permutation():
     f = pseudonyms.Feistel(b"x")
     for n in (1, 2, 3, 10, 97, 1000):
