@@ -92,6 +92,21 @@ def test_commands(spark, tmp_path):
     assert views.status(path, runs) == "off · interactive · req 2 · accepted 1 · −60.0% · saved 600 tok"
 
 
+def test_judges_go_through_all_pairs(spark):
+    prices = judge.Prices(1.0, 1.0)
+    pairs = spark.createDataFrame([(k, "see https://a.b/c" if k % 2 else "nothing to find", "x") for k in range(2500)], "id long, original string, compressed string")
+    told = judge.fidelity_batch(pairs, lambda p: ("verdict: same", 0, 0), prices).collect()
+    assert len(told) == 2500 and all(r.verdict == "same" and r.capped is False for r in told)
+    seen = []
+    told = judge.recovery_batch(pairs, lambda p: seen.append(p) or ("https://a.b/c", 1_000_000, 0), prices, 1200.0).collect()
+    assert len(told) == 2500 and len(seen) == 1200
+    for r in told:
+        free, late = r.id % 2 == 0, r.id >= 2400
+        assert (r.recall_percent, r.capped) == ((100.0, False) if free else (None, True) if late else (100.0, False))
+        assert r.usd == (0.0 if free or late else 1.0) and r.error is None
+    assert {r.recall_percent for r in judge.recovery_batch(pairs, None, prices).where("id % 2 = 0").collect()} == {100.0}
+
+
 def test_judges(spark):
     pairs = spark.createDataFrame([(1, "see https://a.b/c", "see"), (2, "nothing here", "nothing"), (3, "FOO_BAR x", "x")], "id long, original string, compressed string")
     prices = judge.Prices(1.0, 1.0)
