@@ -478,9 +478,10 @@ def f16_f17_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def f21_f22_f23_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diff, heat map and preserved blocks of documents against their condensed form."""
-    df = _docs(spark, sf_dir).withColumn("out", F.col("text")).withColumn("out", F.regexp_replace("out", "[.,]", ""))
-    df = df.withColumns({"d": udfs.word_diff("text", "out"), "p": udfs.preserved_blocks("text")})
-    return df.select("doc_id", F.col("d").isNull().alias("omitted"), F.size(F.filter("d", lambda s: s["type"] == "removed")).alias("removed"), F.size("p").alias("preserved"))
+    df = _docs(spark, sf_dir).withColumn("c", udfs.condense(F.col("text"), "full")).withColumn("out", F.coalesce("c.output", "text"))
+    df = df.withColumns({"d": udfs.word_diff("text", "out"), "p": udfs.preserved_blocks("text"), "h": udfs.heatmap(F.col("text"), F.col("out"))})
+    views_of = [F.col("d").isNull().alias("omitted"), F.size(F.filter("d", lambda s: s["type"] == "removed")).alias("removed"), F.size("p").alias("preserved")]
+    return df.select("doc_id", *views_of, F.size("h").alias("heat_tokens"), F.size(F.filter("h", lambda t: t["kept"])).alias("heat_kept"), _md5(F.to_json("h")).alias("heat_md5"))
 
 
 @_query()
@@ -492,8 +493,7 @@ def j3_f3_fuzzy_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def c7_c8_l2_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every lane by itself on the log blocks, ranked."""
-    solo = steps.solo(X.log_blocks(spark, sf_dir), ["truncate", "caveman"], key="block_id")
-    return measure.ranked_lanes(solo, "block_id").select("block_id", "engine", "savings_percent", "compressed_tokens", "rejected", "place")
+    return views.every_lane(X.log_blocks(spark, sf_dir), Config(), "block_id").select("block_id", "engine", "savings_percent", "compressed_tokens", "rejected", "place")
 
 
 @_query(r"SELECT doc_id, length(text) <= 200000 AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' AS playable FROM documents")
