@@ -345,6 +345,22 @@ def f1_f2_f6_f32_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.normalize_line(F.get(T.lines(t), F.lit(0))).alias("line"), T.content_hash(t).alias("hash"), T.token_count(t).alias("tokens"))
 
 
+_BLANK = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+
+
+@_query(
+    f"""SELECT doc_id, md5(regexp_replace(regexp_replace(lower(text), '{_BLANK}', ' ', 'g'), '^ | $', '', 'g')) AS block_md5, CAST(len(parts) AS BIGINT) AS n_lines,
+  md5(array_to_string(list_transform(parts, lambda l: regexp_replace(regexp_replace(lower(regexp_replace(l, '^{_BLANK}|{_BLANK}$', '', 'g')), '[0-9]+', '#', 'g'), '{_BLANK}', ' ', 'g')), chr(10))) AS lines_md5
+FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents)"""
+)
+def f1_f2_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal forms of whole texts, as a block and line by line."""
+    t = F.col("text")
+    return _docs(spark, sf_dir).select(
+        "doc_id", _md5(T.normalize_block(t)).alias("block_md5"), F.size(T.lines(t)).cast("long").alias("n_lines"), _md5(F.array_join(F.transform(T.lines(t), T.normalize_line), "\n")).alias("lines_md5")
+    )
+
+
 @_query(
     """SELECT doc_id, CASE WHEN n >= 1000000 THEN printf('%.1f', floor(n / 1e6 * 10 + 0.5) / 10) || 'M' WHEN n >= 1000 THEN printf('%.1f', floor(n / 1e3 * 10 + 0.5) / 10) || 'k' ELSE CAST(n AS VARCHAR) END AS count_label,
   CASE WHEN n >= 1048576 THEN printf('%.1f', floor(n / 1048576.0 * 10 + 0.5) / 10) || ' MB' WHEN n >= 1024 THEN printf('%.1f', floor(n / 1024.0 * 10 + 0.5) / 10) || ' kB' ELSE CAST(n AS VARCHAR) || ' B' END AS byte_label,
