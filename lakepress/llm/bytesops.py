@@ -24,30 +24,7 @@ _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_rng.integers(1, 2**62)) * 8 + 5
-_MASK64 = (1 << 64) - 1
-_powers: tuple[np.ndarray, np.ndarray] | None = None
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base modulo 2**64 and of its inverse, at least n of them."""
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = max(n, _HASH_BLOCK + 1)
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            out = np.ones(size, np.uint64)
-            filled = 1
-            while filled < size:
-                step = min(filled, size - filled)
-                out[filled : filled + step] = out[:step] * np.uint64(pow(base, filled, 1 << 64))
-                filled += step
-            both.append(out)
-        _powers = (both[0], both[1])
-    return _powers
-
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 def mix64(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
@@ -82,25 +59,76 @@ def groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
+def pieces(column: pa.Array, limit: int, align: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, bytes and offsets of runs of about `limit` bytes; a longer text comes in several runs, cut at multiples of `align`.
+
+    For what can be summed up over the parts of a text, so that memory does not grow with its length.
+    """
+    for i, j, data, offsets in groups(column, limit):
+        if j - i > 1 or len(data) <= limit:
+            yield np.arange(i, j), data, offsets
+            continue
+        step = max(align, limit // align * align)
+        for at in range(0, len(data), step):
+            part = data[at : at + step]
+            yield np.array([i]), part, np.array([0, len(part)])
+
+
+# What a byte at a place within its span adds to the span's hash: bijective mixing of a random number of the byte plus
+# the place times an odd constant. Unlike powers of a base, no two strings of the same structure cancel out.
+_BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_NEAR = 64
+_NEAR_TERMS = mix64(_BYTE_VALUE[None, :] + np.arange(_NEAR, dtype=np.uint64)[:, None] * _GOLDEN).reshape(-1)
+
+
+def _long_span(data: np.ndarray) -> np.uint64:
+    total = np.uint64(0)
+    for at in range(0, len(data), _HASH_BLOCK):
+        part = data[at : at + _HASH_BLOCK]
+        total += mix64(_BYTE_VALUE[part] + np.arange(at, at + len(part), dtype=np.uint64) * _GOLDEN).sum(dtype=np.uint64)
+    return total
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, never 0; the spans ascend and do not overlap."""
+    """64-bit hashes of byte spans that hold a byte at least, never 0."""
     out = np.empty(len(starts), np.uint64)
+    sizes = ends - starts
+    upto = np.cumsum(sizes)
     i, n = 0, len(starts)
-    while i < n:
-        first = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, first + _HASH_BLOCK, "right")))
-        last = int(ends[j - 1])
-        power, inverse = _power_tables(last - first + 1)
-        total = np.zeros(last - first + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[data[first:last]] * power[: last - first], out=total[1:])
-        a, b = starts[i:j] - first, ends[i:j] - first
-        out[i:j] = (total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)
-        i = j
-    out = mix64(out)
+    with np.errstate(over="ignore"):
+        while i < n:
+            before = int(upto[i] - sizes[i])
+            j = max(i + 1, int(np.searchsorted(upto, before + _HASH_BLOCK, "right")))
+            if j == i + 1 and sizes[i] > _HASH_BLOCK:
+                out[i] = _long_span(data[starts[i] : ends[i]])
+            else:
+                own = sizes[i:j]
+                first = upto[i:j] - own - before
+                place = np.arange(int(upto[j - 1]) - before) - np.repeat(first, own)
+                byte = data[place + np.repeat(starts[i:j], own)]
+                if int(own.max()) <= _NEAR:
+                    terms = _NEAR_TERMS[place * 256 + byte]
+                else:
+                    terms = mix64(_BYTE_VALUE[byte] + place.astype(np.uint64) * _GOLDEN)
+                out[i:j] = np.add.reduceat(terms, first)
+            i = j
+        out = mix64(out + sizes.astype(np.uint64) * _GOLDEN)
     out[out == 0] = 1
     return out
 
 
+def word_pieces(data: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """One text in parts of about `limit` bytes that end after a byte that is not part of a word, where there is one."""
+    at, n = 0, len(data)
+    while at < n:
+        to = min(n, at + limit)
+        if to < n:
+            gaps = np.flatnonzero(~_IS_WORD[_LOWER[data[at:to]]])
+            to = at + int(gaps[-1]) + 1 if len(gaps) else to
+        yield data[at:to]
+        at = to
+
+
 class Words:
     """The words of a run of texts.
 
@@ -142,7 +170,7 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     if len(hashes):
         short = bool((have < width).any())
         for k in range(width):
-            out *= np.uint64(0x9E3779B97F4A7C15)
+            out *= _GOLDEN
             if short:
                 out += np.where(k < have, hashes[np.minimum(at + k, len(hashes) - 1)], np.uint64(0))
             else:

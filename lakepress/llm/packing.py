@@ -6,16 +6,19 @@ it gets one by one into a fixed number of open sequences.  A bitset holds for
 each amount of free space whether an open sequence has just that much, so the
 best fit (the fullest sequence with room) is the lowest set bit from the piece's
 length on; without one a new sequence opens, and where too many are open the
-fullest closes first.  Pieces come in windows, longest first within a window:
-long ones open sequences that the short ones fill.
+fullest closes first.  Pieces are placed online, each for good; they pass through a
+buffer of `window` pieces, which hands on the longest first, so that long ones
+open sequences that short ones fill (`window=1` is the order of arrival).
 
 Only lengths and digests are exchanged (or also the ids, with `with_ids`), dealt
-by the hash of the id in a fixed order, so a task that runs again packs alike.
+by the hash of id, piece and input partition in a fixed order, so a task that runs
+again packs alike, and rows that repeat an id are dealt apart.
 Memory for packing is bounded by the open sequences and a window, whatever the
 input. sequence_id is the task's number times 2**40 plus a count.
 
 A null or empty text is the end id alone. Null ids are allowed; rows that repeat
-an id are documents of their own. An empty table gives an empty result.
+an id are documents of their own. Other columns are not read. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -91,13 +94,13 @@ def cut(n: int, length: int) -> list[int]:
     return ([n % length] if n % length else []) + [length] * (n // length)
 
 
-def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, with_ids: bool = False, specials: bool = False) -> DataFrame:
     """One row for each piece of each document; no exchange."""
     common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, ids, bounds in tokens.encode_column(batch.column(1), tokenizer, end_id):
+            for i, j, ids, bounds in tokens.encode_column(batch.column(1), tokenizer, end_id, specials):
                 row, nth, start, size, crc, body = [], [], [], [], [], []
                 for k in range(j - i):
                     own = ids[bounds[k] : bounds[k + 1]]
@@ -122,15 +125,18 @@ def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, with_ids:
     return common.texts(docs).mapInArrow(common.trimmed(run), PIECES + (", ids binary" if with_ids else ""))
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = 2, open_bins: int = OPEN_BINS, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = 2, open_bins: int = OPEN_BINS, window: int = WINDOW, with_ids: bool = False, specials: bool = False
+) -> DataFrame:
     """Pieces with their sequence_id and offset; with `with_ids` also the ids of each piece as little-endian 32-bit integers."""
-    cut_up = pieces(docs, tokenizer or tokens.default_path(), length, end_id, with_ids)
-    dealt = cut_up.repartition(F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "length", "ids_crc32")
+    cut_up = pieces(docs, tokenizer or tokens.default_path(), length, end_id, with_ids, specials)
+    dealt = cut_up.withColumn("__from", F.spark_partition_id()).repartition(F.xxhash64("doc_id", "piece", "ids_crc32", "__from")).drop("__from").sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "length", "ids_crc32")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         packer = BestFit(length, open_bins)
         held: list[pa.RecordBatch] = []
+        waiting = 0
 
         def placed() -> Iterator[pa.RecordBatch]:
             for batch in pa.Table.from_batches(held).combine_chunks().to_batches():
@@ -140,8 +146,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
 
         for batch in batches:
             held.append(batch)
-            if sum(x.num_rows for x in held) >= window:
+            waiting += batch.num_rows
+            if waiting >= window:
                 yield from placed()
+                waiting = 0
         if held:
             yield from placed()
 

@@ -5,23 +5,26 @@
    plain blocks of whole documents, each with its place within the task's range.
 2. All ids of all documents are counted; the table has a row for each id of the
    vocabulary at most and is broadcast.
-3. Every block is coded on its own and written to the output folder as a row of
-   Parquet: shard, block, base (ids of the shard before it), doc_ids and counts
-   of its documents, payload (see rans.py). The plain blocks are then removed.
-4. read() decodes the files. Where a shard begins follows from the shards'
-   totals, one row for each; a document's start is the sum of three numbers, so
+3. Every block is coded on its own and written to the output folder: `blocks` is a
+   Parquet table with shard, block, base (ids of the shard before it), doc_ids and counts
+   of its documents, payload (see rans.py; not compressed again). `table` holds what a reader
+   needs besides: format version, precision, the ids that occur and their frequencies, the end
+   id, and the SHA-256 of the vocabulary file. The plain blocks are then removed.
+4. read() decodes a folder by its path alone, in any session. Where a shard begins follows from the
+   shards' totals, one row for each; a document's start is the sum of three numbers, so
    nothing is ordered globally again.
 
 A document longer than a block is a block of its own. A null or empty text is the end
 id alone. Null ids come first. Rows that repeat an id are documents of their own,
-ordered by the text's hash. An empty table gives empty files and an empty result.
+ordered by the text's hash. Other columns are not read. An empty table gives empty files
+and an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +39,8 @@ _PLAIN = "shard int, block int, base long, doc_ids array<long>, counts array<lon
 _CODED = "shard int, block int, base long, doc_ids array<long>, counts array<long>, payload binary"
 
 
-@dataclass
-class Files:
-    """Where the coded blocks lie, and the table that all of them share."""
-
-    path: str
-    table: rans.Table
+VERSION = 1
+_TABLE = "version int, precision int, end_id int, vocabulary_sha256 string, ids array<int>, frequencies array<int>"
 
 
 def _pack(ids: np.ndarray) -> bytes:
@@ -53,10 +52,10 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4" if data[:1] == b"4" else "<u2", offset=1)
 
 
-def _plain_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int) -> DataFrame:
+def _plain_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int, specials: bool) -> DataFrame:
     common.small_batches(docs.sparkSession)
-    rows = common.texts(docs).withColumn("hash", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    rows = common.texts(docs).withColumns({"hash": F.xxhash64("text"), "from": F.spark_partition_id()})
+    ordered = rows.repartitionByRange("doc_id", "hash", "from").sortWithinPartitions("doc_id", "hash")  # `from` parts rows that repeat both
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -73,7 +72,7 @@ def _plain_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int)
             )
 
         for batch in batches:
-            for i, j, ids, bounds in tokens.encode_column(batch.column(1), tokenizer, end_id):
+            for i, j, ids, bounds in tokens.encode_column(batch.column(1), tokenizer, end_id, specials):
                 names += batch.column(0).slice(i, j - i).to_pylist()
                 counts.append(np.diff(bounds))
                 parts.append(ids.astype(np.uint32))
@@ -85,7 +84,7 @@ def _plain_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int)
         if names:
             yield row()
 
-    return ordered.drop("hash").mapInArrow(common.trimmed(run), _PLAIN)
+    return ordered.drop("hash", "from").mapInArrow(common.trimmed(run), _PLAIN)
 
 
 def _count(plain: DataFrame) -> rans.Table:
@@ -106,10 +105,11 @@ def _count(plain: DataFrame) -> rans.Table:
     return rans.Table.from_counts(found["id"].to_numpy(), found["n"].to_numpy())
 
 
-def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = 2, block_ids: int = BLOCK_IDS) -> Files:
-    """Tokenise, code and write all documents; `path` must be a folder that all executors share."""
+def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = 2, block_ids: int = BLOCK_IDS, specials: bool = False) -> str:
+    """Tokenise, code and write all documents; returns the folder (`path`, which all executors must share, or a new one)."""
     spark = docs.sparkSession
-    plain = common.written(_plain_blocks(docs, tokenizer or tokens.default_path(), end_id, block_ids), "plain-ids")
+    tokenizer = tokenizer or tokens.default_path()
+    plain = common.written(_plain_blocks(docs, tokenizer, end_id, block_ids, specials), "plain-ids")
     table = _count(plain)
     sent = common.send(spark, table)
 
@@ -119,16 +119,23 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(coded, pa.binary())], [*batch.schema.names[:5], "payload"])
 
     path = path or common.shared_folder(spark, "token-files")
-    plain.mapInArrow(common.trimmed(run), _CODED).write.option("compression", "zstd").parquet(path)
+    plain.mapInArrow(common.trimmed(run), _CODED).write.option("compression", "none").parquet(f"{path}/blocks")
+    with open(tokenizer, "rb") as f:
+        vocabulary = hashlib.sha256(f.read()).hexdigest()
+    row = (VERSION, rans.PRECISION, end_id, vocabulary, table.symbols.tolist(), table.freq.astype(np.int64).tolist())
+    spark.createDataFrame([row], _TABLE).coalesce(1).write.parquet(f"{path}/table")
     common.dropped(plain)
-    return Files(path, table)
+    return path
 
 
-def read(spark: SparkSession, files: Files, with_ids: bool = False) -> DataFrame:
+def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the files; with `with_ids` its ids as array<int>."""
     common.small_batches(spark)
-    coded = spark.read.schema(_CODED).parquet(files.path)
-    sent = common.send(spark, files.table)
+    coded = spark.read.schema(_CODED).parquet(f"{path}/blocks")
+    kept = spark.read.schema(_TABLE).parquet(f"{path}/table").first()  # one row, as long as the vocabulary at most
+    if kept["version"] != VERSION or kept["precision"] != rans.PRECISION:
+        raise ValueError("the files are of another version")
+    sent = common.send(spark, rans.Table(np.array(kept["ids"], np.uint32), np.array(kept["frequencies"], np.uint64)))
     schema = "shard int, doc_id long, at long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
