@@ -13,8 +13,9 @@ and filters) instead of multiplying matrices.
 
 `und` with score 0 is given where the text is null or has no letter, or where
 nothing could be learned. Rows whose lang, id or text is null are not learned
-from. Repeated rows are judged each for itself; an empty table gives an empty
-result. With one language only, that one is predicted with score 1.
+from; rows that repeat id and text count once. Repeated rows are judged each for itself; a long text
+is read in parts; other columns are not read; an empty table gives an empty result. With one
+language only, that one is predicted with score 1.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakepress.llm import common
-from lakepress.llm.bytesops import groups
+from lakepress.llm import common, samples
+from lakepress.llm.bytesops import pieces
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 DIMENSIONS = 8
 WINDOW = 256
+#: Bytes that are looked at at once.
+PART = 1 << 20
 #: Windows that training uses at most, and windows from one text.
 SAMPLE_WINDOWS = 6_000
 WINDOWS_PER_TEXT = 2
@@ -46,20 +49,21 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 @dataclass
 class Model:
-    """Languages; for each width its pair tables (65536 x filters) and bias; softmax weights and bias."""
+    """Languages; the filters' widths, for each its pair tables (65536 x filters) and bias; softmax weights and bias."""
 
     langs: list[str]
+    widths: tuple[int, ...]
     tables: list[list[np.ndarray]]
     biases: list[np.ndarray]
     out: np.ndarray
     bias: np.ndarray
 
     def logits(self, windows: np.ndarray) -> np.ndarray:
-        """windows: n x WINDOW bytes."""
-        pairs = windows[:, :-1].astype(np.int32) * 256 + windows[:, 1:]
+        """windows: n x WINDOW bytes. An odd filter's last pair has no second byte; the one more here weighs nothing."""
+        wide = np.pad(windows, ((0, 0), (0, 1)))
+        pairs = wide[:, :-1].astype(np.int32) * 256 + wide[:, 1:]
         maxima = []
-        for tables, bias in zip(self.tables, self.biases):
-            width = 2 * len(tables)
+        for width, tables, bias in zip(self.widths, self.tables, self.biases):
             n = windows.shape[1] - width + 1
             total = tables[0][pairs[:, :n]]
             for k in range(1, len(tables)):
@@ -142,7 +146,7 @@ def train(windows: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = EP
                 m1 += 0.1 * (g - m1)
                 m2 += 0.01 * (g * g - m2)
                 v -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-7)
-    return Model(langs, [_pair_tables(w, vectors, f) for w, f in zip(WIDTHS, filters)], biases, out, bias)
+    return Model(langs, WIDTHS, [_pair_tables(w, vectors, f) for w, f in zip(WIDTHS, filters)], biases, out, bias)
 
 
 def fit(docs: DataFrame, sample_windows: int = SAMPLE_WINDOWS, held_out: int = HELD_OUT) -> Model | None:
@@ -154,20 +158,20 @@ def fit(docs: DataFrame, sample_windows: int = SAMPLE_WINDOWS, held_out: int = H
         return None
     langs = sorted(found)
     want = max(1, sample_windows // WINDOWS_PER_TEXT // len(langs))
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     rate = F.element_at(F.create_map(*[F.lit(x) for k, n in found.items() for x in (k, min(1.0, want / n))]), F.col("__lang"))
-    chosen = rows.where(unit < rate).where(F.rlike("text", F.lit("\\p{L}")))
+    rows = rows.withColumn("__h", F.xxhash64("text"))
+    chosen = rows.where(samples.unit("doc_id", "__h", seed=5) < rate).where(F.rlike("text", F.lit("\\p{L}")))
     places = F.transform(F.sequence(F.lit(1), F.lit(WINDOWS_PER_TEXT)), lambda k: F.pmod(F.xxhash64("doc_id", k), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1)
-    windows = chosen.select("doc_id", "__lang", F.explode(places).alias("__at"), "text").select("doc_id", "__lang", "__at", F.substring("text", F.col("__at"), F.lit(WINDOW)).alias("text"))
-    pulled = windows.limit(2 * sample_windows + 1000).toArrow()
-    if not pulled.num_rows:
-        return None
-    order = sorted(range(pulled.num_rows), key=lambda k: (pulled["doc_id"][k].as_py(), pulled["__at"][k].as_py(), pulled["text"][k].as_py()))
-    pulled = pulled.take(order)
-    raw = [t.encode()[:WINDOW] for t in pulled["text"].to_pylist()]
-    x = np.frombuffer(b"".join(t.ljust(WINDOW, b"\0") for t in raw), np.uint8).reshape(-1, WINDOW)
-    number = {k: i for i, k in enumerate(langs)}
-    return train(x, np.array([number[k] for k in pulled["__lang"].to_pylist()]), langs)
+    windows = chosen.select("doc_id", "__h", "__lang", F.explode(places).alias("__at"), "text").select("doc_id", "__h", "__lang", "__at", F.substring("text", F.col("__at"), F.lit(WINDOW)).alias("text"))
+    sample = windows.dropDuplicates(["doc_id", "__h", "__at"]).limit(2 * sample_windows + 1000)
+
+    def learn(rows: pa.Table) -> Model:
+        raw = [t.encode()[:WINDOW] for t in rows["text"].to_pylist()]
+        x = np.frombuffer(b"".join(t.ljust(WINDOW, b"\0") for t in raw), np.uint8).reshape(-1, WINDOW)
+        number = {k: i for i, k in enumerate(langs)}
+        return train(x, np.array([number[k] for k in rows["__lang"].to_pylist()]), langs)
+
+    return samples.trained(sample, ["doc_id", "__h", "__at"], learn)
 
 
 def predict(docs: DataFrame, model: Model | None, held_out: int = HELD_OUT) -> DataFrame:
@@ -185,24 +189,22 @@ def predict(docs: DataFrame, model: Model | None, held_out: int = HELD_OUT) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
         for batch in batches:
-            names, scores = [], []
-            letters = batch.column(3).to_numpy(zero_copy_only=False)
-            for i, j, data, offsets in groups(batch.column(1), 1 << 20):
-                if net is None:
-                    names += ["und"] * (j - i)
-                    scores.append(np.zeros(j - i))
-                    continue
-                windows, owner, count = cut(data, offsets)
-                logits = np.concatenate([np.zeros((0, len(net.langs)), np.float32)] + [net.logits(windows[k : k + 128]) for k in range(0, len(windows), 128)])
-                total = np.stack([np.bincount(owner, weights=logits[:, c] * count, minlength=j - i) for c in range(len(net.langs))], 1)
-                mean = total / np.maximum(np.diff(offsets), 1)[:, None]
-                mean -= mean.max(1, keepdims=True)
-                p = np.exp(mean)
+            n, letters = batch.num_rows, batch.column(3).to_numpy(zero_copy_only=False)
+            if net is None:
+                names, score = ["und"] * n, np.zeros(n)
+            else:
+                total, size = np.zeros((n, len(net.langs))), np.zeros(n)
+                for of, data, offsets in pieces(batch.column(1), PART, WINDOW):
+                    windows, owner, count = cut(data, offsets)
+                    logits = np.concatenate([np.zeros((0, len(net.langs)), np.float32)] + [net.logits(windows[k : k + 128]) for k in range(0, len(windows), 128)])
+                    total[of] += np.stack([np.bincount(owner, weights=logits[:, c] * count, minlength=len(of)) for c in range(len(net.langs))], 1)
+                    size[of] += np.diff(offsets)
+                mean = total / np.maximum(size, 1)[:, None]
+                p = np.exp(mean - mean.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 best = p.argmax(1)
-                own = letters[i:j]
-                names += [net.langs[k] if ok else "und" for k, ok in zip(best.tolist(), own.tolist())]
-                scores.append(np.where(own, np.round(p[np.arange(j - i), best].astype(np.float64), 6), 0.0))  # equal texts in other batches differ in the last bits
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]))], ["doc_id", "held_out", "lang_pred", "score"])
+                names = [net.langs[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist())]
+                score = np.where(letters, np.round(p[np.arange(n), best], 6), 0.0)  # equal texts in other batches differ in the last bits
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(common.trimmed(run), SCHEMA)

@@ -2,17 +2,21 @@
 
 Every passage (a fixed number of bytes; all of the text is in one) is described
 by hashed counts of byte pairs, shares of character classes, and how much its
-words repeat.  An encoder turns it into a vector h; gated attention gives it the
+words repeat (a word that a passage's edge divides counts in parts).  An encoder
+turns it into a vector h; gated attention gives it the
 weight softmax(w . (tanh(V h) * sigmoid(U h))) among the document's passages;
 the weighted sum of the vectors is scored by a logistic layer.  All parts are
 trained together by Adam from document labels alone, on a bounded sample of
 labelled rows, so the attention learns by itself which passages tell. The scores
-are calibrated to the classes' shares among all labelled rows.
-
-Rows whose label, id or text is null are not learned from. With labels of one
-class only, or none, every score is that class's share (0 without labels). A null
-or empty text is one passage without bytes and gets a score like any other.
-Repeated rows are scored each for itself; an empty table gives an empty result.
+are calibrated to the classes' shares among all labelled rows. A long text is read
+in parts whose weighted sums are merged, so memory does not grow with its length.
+
+The sample has at most about `sample_rows` whole texts and `sample_bytes` bytes.
+Rows whose label, id or text is null, and ids with both labels, are not learned from.
+With labels of one class only, or none, every score is that class's share (0 without labels).
+A null or empty text is one passage without bytes and gets a score like any other.
+Repeated rows are scored each for itself; other columns are not read; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -27,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakepress.llm import common, samples
-from lakepress.llm.bytesops import Words, groups, mix64
+from lakepress.llm.bytesops import Words, groups, mix64, pieces
 from lakepress.llm.toxicity import calibrated
 
 PASSAGE = 256
 BINS = 160
 HIDDEN, GATE = 32, 16
-SAMPLE_ROWS = 5_000
+SAMPLE_ROWS, SAMPLE_BYTES = 5_000, 64 << 20
+#: Bytes that are described at once.
+PART = 1 << 20
 #: Passes over the sample; a small sample gets more, for about as many steps.
 EPOCHS, MOST_EPOCHS, FEW_ROWS = 5, 40, 4_000
 FOLD, HELD_OUT = 5, 0
@@ -68,12 +74,15 @@ def describe(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     out[:, :BINS] = np.sqrt(found / size[:, None])
     found = np.bincount(passage * _CLASSES + _CLASS[data], minlength=n * _CLASSES).reshape(n, _CLASSES)
     out[:, BINS : BINS + _CLASSES] = found / size[:, None]
-    words = Words(data, offsets)
+    nth = np.arange(n) - np.repeat(first[:-1], counts)
+    edges = np.append(np.repeat(offsets[:-1], counts) + nth * PASSAGE, len(data))
+    words = Words(data, edges)
     if len(words.starts):
-        h, of = words.hashes, passage[words.starts]
-        total = np.maximum(np.bincount(of, minlength=n), 1).astype(np.float32)
+        h, of = words.hashes, np.repeat(np.arange(n), np.diff(words.first))
+        have = np.bincount(of, minlength=n).astype(np.float32)
+        total = np.maximum(have, 1)
         at = BINS + _CLASSES
-        out[:, at] = total / size * 4
+        out[:, at] = have / size * 4
         out[:, at + 1] = np.bincount(of, weights=words.ends - words.starts, minlength=n) / total / 8
         for lag in (1, 2, 3):
             equal = (h[lag:] == h[:-lag]) & (of[lag:] == of[:-lag])
@@ -83,7 +92,7 @@ def describe(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         new = np.ones(len(h), bool)
         new[1:] = key[1:] != key[:-1]
         out[:, at + 5] = np.bincount((key[new] >> np.uint64(40)).astype(np.int64), minlength=n) / total
-    out[:, BINS + _CLASSES + 6] = size / PASSAGE
+    out[:, BINS + _CLASSES + 6] = np.bincount(passage, minlength=n) / PASSAGE
     return out, first
 
 
@@ -101,15 +110,31 @@ class Model:
     slope: float = 1.0
     intercept: float = 0.0
 
-    def logits(self, described: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Calibrated logits of bags."""
-        return self.slope * self._bags((described - self.mean) / self.spread, first)[-1] + self.intercept
-
-    def _bags(self, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-        enc, enc_b, v, u, w, c, d = self.weights
+    def logits(self, column: pa.Array) -> np.ndarray:
+        """Calibrated logits of texts. What attention has summed up so far (under the largest exponent) is merged with the next part of a text."""
+        most, total, z = np.full(len(column), -np.inf), np.zeros(len(column)), np.zeros((len(column), HIDDEN))
+        for rows, data, offsets in pieces(column, PART, PASSAGE):
+            described, first = describe(data, offsets)
+            h, _, _, e = self._encoded((described - self.mean) / self.spread)
+            m = np.maximum.reduceat(e, first[:-1])
+            a = np.exp(e - np.repeat(m, np.diff(first)))
+            new = np.maximum(most[rows], m)
+            old, own = np.exp(most[rows] - new), np.exp(m - new)
+            total[rows] = total[rows] * old + np.add.reduceat(a, first[:-1]) * own
+            z[rows] = z[rows] * old[:, None] + np.add.reduceat(a[:, None] * h, first[:-1]) * own[:, None]
+            most[rows] = new
+        return self.slope * ((z / np.maximum(total, 1e-30)[:, None]) @ self.weights[5] + self.weights[6][0]) + self.intercept
+
+    def _encoded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors of passages, both halves of the gate, and attention before the softmax."""
+        enc, enc_b, v, u, w, _, _ = self.weights
         h = np.tanh(x @ enc + enc_b)
         t, s = np.tanh(h @ v), _sigmoid(h @ u)
-        e = (t * s) @ w
+        return h, t, s, (t * s) @ w
+
+    def _bags(self, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        c, d = self.weights[5:]
+        h, t, s, e = self._encoded(x)
         sizes = np.diff(first)
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, first[:-1]), sizes))
         a = e / np.repeat(np.add.reduceat(e, first[:-1]), sizes)
@@ -173,11 +198,10 @@ def train(texts: list[str], labels: np.ndarray, share: float, epochs: int | None
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, held_out: int = HELD_OUT) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, held_out: int = HELD_OUT) -> Model:
     """Learn from a bounded sample of the labelled rows outside the held-out fold."""
     common.small_batches(docs.sparkSession)
-    sample, share = samples.labelled(docs, labels, label, sample_rows, FOLD, held_out)
-    return samples.fitted(sample, lambda texts, y: train(texts, y, share))
+    return samples.fitted(docs, labels, label, sample_rows, sample_bytes, FOLD, held_out, train)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, held_out: int = HELD_OUT) -> DataFrame:
@@ -188,8 +212,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, held_out: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = np.concatenate([np.zeros(0)] + [sent.value.logits(*describe(data, offsets)) for _, _, data, offsets in groups(batch.column(1), 1 << 20)])
-            p = np.round(_sigmoid(z.astype(np.float64)), 6)  # equal texts in other batches differ in the last bits
+            p = np.round(_sigmoid(sent.value.logits(batch.column(1)).astype(np.float64)), 6)  # equal texts in other batches differ in the last bits
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(common.trimmed(run), SCHEMA)

@@ -11,15 +11,17 @@ shares most n-grams with the word it stands for.
 All of it is linear up to the softmax, so for scoring each bucket's vector is
 multiplied by the softmax weights once, which leaves a number for each bucket.
 A worker keeps the number of each distinct word.  All words of the whole text
-count, however long it is.
+count, however long it is; a long one is read in parts (a word of more than PART
+bytes counts in parts too).
 
-The sample has at most `sample_rows` labelled rows outside the held-out fold, as
+The sample has at most about `sample_rows` whole texts of `sample_bytes` bytes outside the held-out fold, as
 many of either class as there are up to a half, chosen by the hash of the id;
 the intercept is then shifted to the classes' true odds among all labelled rows.
-Rows whose label, id or text is null are not learned from. With labels of one
-class only, or none, every score is that class's share (0 without labels).
+Rows whose label, id or text is null, and ids with both labels, are not learned from. With
+labels of one class only, or none, every score is that class's share (0 without labels).
 A null or empty text has no words and gets the score of the intercept. Repeated
-rows are scored each for itself; an empty table gives an empty result.
+rows are scored each for itself; score() reads no other columns and clean() keeps them as they
+are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,23 +36,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakepress.llm import common, samples
-from lakepress.llm.bytesops import HashIndex, Words, groups, hash_spans, mix64
+from lakepress.llm.bytesops import HashIndex, Words, groups, mix64, word_pieces
 
 BUCKETS = 1 << 17
 DIMENSIONS = 4
 NGRAMS = (3, 4, 5)
 SCALE = 64.0
-SAMPLE_ROWS = 9_000
+SAMPLE_ROWS, SAMPLE_BYTES = 9_000, 64 << 20
 #: Passes over the sample; a small sample gets more, up to MOST_EPOCHS, for about as many steps.
 EPOCHS, MOST_EPOCHS, FEW_ROWS = 4, 24, 6_000
 #: Lengths of the runs of words that each clean text adds to training.
 SHORT = (1, 2, 6)
-#: A bucket that fewer than this share of the sample's documents have (3 at least) stays at zero: it can only be learned by heart.
-MIN_SHARE = 0.0025
+#: A bucket that fewer documents of the sample have stays at zero: it can only be learned by heart. The same for samples of any size.
+MIN_DOCS = 3
 RATE, DECAY = 0.03, 0.05
 FOLD, HELD_OUT = 5, 0
 #: Distinct words that a worker keeps; beyond it the table begins anew. It bounds memory, not results.
 KEPT_WORDS = 1 << 20
+#: A longer text is read in parts of so many bytes.
+PART = 8 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -105,9 +109,10 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.index, self.values = HashIndex(16), np.zeros(0)
+        self.index, self.values, self.hashes = HashIndex(16), np.zeros(0), np.zeros(0, np.uint64)
 
-    def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def _counted(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, row in the table, and count of each text's distinct words."""
         words = Words(data, offsets)
         rows = self.index.lookup(words.hashes)
         missing = np.flatnonzero(rows < 0)
@@ -119,16 +124,41 @@ class Scorer:
             else:
                 where = missing[where]
             self.index.insert(new)
+            self.hashes = np.concatenate([self.hashes, new])
             self.values = np.concatenate([self.values, self.model.words(words.low, words.starts[where], words.ends[where], new)])
             rows = self.index.lookup(words.hashes)
-        n = len(offsets) - 1
-        key = (np.repeat(np.arange(n, dtype=np.int64), np.diff(words.first)) << 32) | rows
+        key = (np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(words.first)) << 32) | rows
         key.sort()
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        weight = np.sqrt(np.diff(np.append(at, len(key))))
-        text, word = key[at] >> 32, key[at] & 0xFFFFFFFF
-        total = np.bincount(text, weights=weight * self.values[word], minlength=n)
-        return SCALE * total / np.maximum(np.bincount(text, weights=weight, minlength=n), 1) + self.model.intercept
+        return key[at] >> 32, key[at] & 0xFFFFFFFF, np.diff(np.append(at, len(key)))
+
+    def _one(self, data: np.ndarray) -> float:
+        """The mean of a long text's words."""
+        hashes, counts, values = [], [], []
+        for part in word_pieces(data, PART):
+            _, word, count = self._counted(part, np.array([0, len(part)]))
+            hashes.append(self.hashes[word])
+            counts.append(count)
+            values.append(self.values[word])
+        if not hashes:
+            return 0.0
+        _, first, of = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        weight = np.sqrt(np.bincount(of, weights=np.concatenate(counts)))
+        return float((weight * np.concatenate(values)[first]).sum() / max(weight.sum(), 1e-30)) if len(first) else 0.0
+
+    def logits(self, column: pa.Array) -> np.ndarray:
+        """The logits of whole texts."""
+        out = [np.zeros(0)]
+        for i, j, data, offsets in groups(column):
+            if j - i == 1 and len(data) > PART:
+                means = np.array([self._one(data)])
+            else:
+                text, word, count = self._counted(data, offsets)
+                weight = np.sqrt(count)
+                total = np.bincount(text, weights=weight * self.values[word], minlength=j - i)
+                means = total / np.maximum(np.bincount(text, weights=weight, minlength=j - i), 1)
+            out.append(SCALE * means + self.model.intercept)
+        return np.concatenate(out)
 
 
 def train(texts: list[str], labels: np.ndarray, share: float, epochs: int | None = None, seed: int = 7) -> Model:
@@ -173,7 +203,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, epochs: int | None
     labels = np.concatenate([labels, np.zeros(len(extra), np.int64)])
     in_docs = np.bincount(np.concatenate(doc_words), minlength=len(places) - 1)
     seen = np.bincount(feature_ids, weights=np.repeat(in_docs, np.diff(places)), minlength=BUCKETS)
-    rare = (seen < max(3, MIN_SHARE * len(classes)))[:, None]
+    rare = (seen < MIN_DOCS)[:, None]
     epochs = epochs or min(MOST_EPOCHS, max(EPOCHS, EPOCHS * FEW_ROWS // max(1, len(classes))))
 
     vectors = rng.normal(0, 0.002, (BUCKETS, DIMENSIONS)).astype(np.float32)
@@ -240,11 +270,10 @@ def calibrated(z: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float
     return max(float(w[0] / spread), 1e-6), float(w[1] - w[0] * middle / spread)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, held_out: int = HELD_OUT) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, held_out: int = HELD_OUT) -> Model:
     """Learn from a bounded sample of the labelled rows outside the held-out fold."""
     common.small_batches(docs.sparkSession)
-    sample, share = samples.labelled(docs, labels, label, sample_rows, FOLD, held_out)
-    return samples.fitted(sample, lambda texts, y: train(texts, y, share))
+    return samples.fitted(docs, labels, label, sample_rows, sample_bytes, FOLD, held_out, train)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, held_out: int = HELD_OUT) -> DataFrame:
@@ -256,7 +285,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, held_out: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            z = np.concatenate([np.zeros(0)] + [scorer.logits(data, offsets) for _, _, data, offsets in groups(batch.column(1))])
+            z = scorer.logits(batch.column(1))
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -273,7 +302,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            z = np.concatenate([np.zeros(0)] + [scorer.logits(data, offsets) for _, _, data, offsets in groups(batch.column(place))])
+            z = scorer.logits(batch.column(place))
             yield batch.filter(pa.array(z < limit))
 
     return docs.mapInArrow(common.trimmed(run), docs.schema)
