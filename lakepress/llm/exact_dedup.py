@@ -1,87 +1,90 @@
 """Exact deduplication by progressive refinement: length, then prefix hash, then full hash.
 
-First pass: every row gives its length in bytes and the hash of its first
-characters, and rows are counted by length and, within a length, by prefix
-hash.  Pairs that occur once are out.  What survives is kept as a table of
-bits: one bit for each hash value modulo `bits`, set where at least two rows
-fell.  Its size is fixed, so it can be broadcast for any input; a bit shared by
-chance only lets a row survive that need not.  Second pass: surviving rows
-alone get the SHA-256 of their whole text and are grouped by it and the
-length; the others are groups of one.
+1. Rows are counted by their length in bytes. Rows whose length occurs once are out.
+2. The others are counted by length and the hash of their first characters. Pairs
+   that occur once are out.
+3. What survives gets the SHA-256 of its whole text and is grouped by it and the
+   length; the others are groups of one.
+
+What survives a pass is told to the rows as a broadcast table of bits, one bit for each
+value modulo the table's size, set where at least two rows fell; a bit shared by chance
+only lets a row survive that need not, so results are exact whatever the size. Lengths have
+LENGTH_BITS bits; pairs have SPARE bits for each row that reached them, up to MOST_BITS
+(16 MB). Beyond MOST_BITS / SPARE rows the second table fills: with r rows a share
+of 1 - exp(-r / MOST_BITS) of lone rows is hashed in full too, which costs a scan and no exchange.
 
 Null counts as the empty text. Of equal texts the row with the largest doc_id
 stays (a null id is smaller than any). Rows that repeat both id and text get
-the same answer from groups(); distinct() returns one of them. An empty table
-gives an empty result. Groups are counted before the exchange, and the join
-that brings a group's answer back to its rows has one row for each text on the
-other side, so adaptive execution splits a group that holds a third of all rows.
+the same answer from groups(); distinct() returns one of them, and all its columns as they
+were, whatever their names. An empty table gives an empty result. Groups are counted before
+the exchange; answers of large groups come back to their rows by a broadcast of bounded size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakepress.llm import common
+
 PREFIX = 256
-#: Bits of the survivors' table; 2**24 are 2 MB. More than a few rows a bit only cost time.
-BITS = 1 << 24
+LENGTH_BITS = 1 << 20
+SPARE, MOST_BITS = 16, 1 << 27
+
 
+def _digest(text: str) -> Column:
+    return F.sha2(F.encode(text, "UTF-8"), 256)
 
-def _measured(docs: DataFrame, prefix: int, bits: int) -> DataFrame:
-    """`docs` with __text, __n (its bytes) and __bucket (of length and prefix hash)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    measured = docs.withColumn("__text", text).withColumn("__n", F.octet_length("__text").cast("long"))
-    return measured.withColumn("__bucket", F.pmod(F.xxhash64("__n", F.xxhash64(F.substring("__text", 1, prefix))), F.lit(bits)))
 
+def _survivors(docs: DataFrame, prefix: int, most_bits: int, names: list[str]) -> tuple[DataFrame, int]:
+    """`docs` with text, length and whether another row may share both length and prefix hash, under these three names; and the number of rows."""
+    text, n, many = names
+    [some] = common.free([*docs.columns, *names], "__some")
+    sized = docs.withColumn(text, F.coalesce(F.col("text"), F.lit(""))).withColumn(n, F.octet_length(text).cast("long"))
+    place = F.col(n) % LENGTH_BITS
+    lengths = sized.groupBy(place.alias("place")).agg(F.count("*").alias("rows"))
+    told = lengths.agg(F.sum("rows").alias("all"), F.sum(F.when(F.col("rows") > 1, F.col("rows"))).alias("again")).first()
+    first = common.with_bit(sized, place, lengths.where("rows > 1").select("place"), some)
 
-def _survivors(docs: DataFrame, prefix: int, bits: int) -> DataFrame:
-    """`docs` with __text, __n and __many: whether another row may share its length and prefix hash."""
-    rows = _measured(docs, prefix, bits)
-    counted = rows.groupBy("__bucket").agg(F.count("*").alias("__rows")).where("__rows > 1")
-    table = counted.groupBy(F.bitmap_bucket_number("__bucket").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bucket")).alias("__bits"))
-    place = F.bitmap_bit_position("__bucket")
-    found = rows.withColumn("__part", F.bitmap_bucket_number("__bucket")).join(F.broadcast(table), "__part", "left")
-    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    many = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
-    return found.withColumn("__many", many).drop("__part", "__bits", "__bucket")
+    bits = min(most_bits, 1 << max(16, ((told["again"] or 1) * SPARE - 1).bit_length()))
+    bucket = F.pmod(F.xxhash64(n, F.xxhash64(F.substring(text, 1, prefix))), F.lit(bits))
+    pairs = first.where(some).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("rows")).where("rows > 1").select("bucket")
+    second = common.with_bit(first, F.when(F.col(some), bucket), pairs, many)
+    return second.drop(some), told["all"] or 0
 
 
-def _answers(rows: DataFrame) -> DataFrame:
-    return rows.where("__many").groupBy("__n", F.sha2(F.encode("__text", "UTF-8"), 256).alias("__sha")).agg(F.max("doc_id").alias("__keep"), F.count("*").alias("__size"))
+def _answers(rows: DataFrame, text: str, n: str, many: str) -> DataFrame:
+    return rows.where(many).groupBy(F.col(n).alias("n"), _digest(text).alias("sha")).agg(F.max("doc_id").alias("keep"), F.count("*").alias("size"))
 
 
-def groups(docs: DataFrame, prefix: int = PREFIX, bits: int = BITS, digest_all: bool = False) -> DataFrame:
+def groups(docs: DataFrame, prefix: int = PREFIX, most_bits: int = MOST_BITS, digest_all: bool = False) -> DataFrame:
     """For each row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    A row that is alone by length and prefix has no digest, as its text is not
-    read in full, unless `digest_all`; it is then hashed where it lies.
+    A row that is alone by length or prefix has no digest, as its text is not
+    read in full, unless `digest_all`; it is then hashed where it lies. The result reads a table
+    without texts, which common.dropped() removes.
     """
-    rows = _survivors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), prefix, bits)
-    answers = _answers(rows)
-    sha = F.sha2(F.encode("__text", "UTF-8"), 256)
-    keyed = rows.select("doc_id", "__n", "__many", (sha if digest_all else F.when(F.col("__many"), sha)).alias("__sha"))
-    # a row without a digest joins nothing; its own id keeps such rows from meeting in one task
-    keyed = keyed.withColumn("__key", F.coalesce("__sha", F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    found = keyed.join(answers.withColumnRenamed("__sha", "__key"), ["__n", "__key"], "left")
-    keep = F.when(F.col("__size").isNull(), F.col("doc_id")).otherwise(F.col("__keep"))
-    return found.select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
-        F.col("__sha").alias("text_sha256"),
-    )
-
-
-def distinct(docs: DataFrame, prefix: int = PREFIX, bits: int = BITS) -> DataFrame:
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, total = _survivors(own, prefix, most_bits, ["own", "n", "many"])
+    keyed = common.written(rows.select("doc_id", "n", "many", (_digest("own") if digest_all else F.when(F.col("many"), _digest("own"))).alias("sha")), "digests")
+    answers = keyed.where("many").groupBy("n", "sha").agg(F.max("doc_id").alias("keep"), F.count("*").alias("size"))
+    alone = keyed.where(~F.col("many")).select("doc_id", "sha", F.col("doc_id").alias("keep"), F.lit(1).cast("long").alias("size"))
+    some = common.answered(keyed.where("many").select("doc_id", "n", "sha"), answers, ["n", "sha"], "size", total)
+    found = alone.unionByName(some.select("doc_id", "sha", "keep", "size"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep"))
+    return common.owning(found.select("doc_id", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256")), keyed)
+
+
+def distinct(docs: DataFrame, prefix: int = PREFIX, most_bits: int = MOST_BITS) -> DataFrame:
     """The documents that stay, with their columns; texts of rows that are alone are not exchanged."""
-    rows = _survivors(docs, prefix, bits)
-    alone = rows.where(~F.col("__many")).select(*docs.columns)
-    some = rows.where("__many").withColumn("__sha", F.sha2(F.encode("__text", "UTF-8"), 256))
-    answers = _answers(rows).select(F.col("__n").alias("__n2"), F.col("__sha").alias("__sha2"), F.coalesce(F.col("__keep").cast("string"), F.lit("")).alias("__id2"))
-    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    kept = some.withColumn("__id", own).join(answers, (F.col("__n") == F.col("__n2")) & (F.col("__sha") == F.col("__sha2")) & (F.col("__id") == F.col("__id2")), "left_semi")
-    return alone.unionByName(kept.dropDuplicates(["__sha", "__n", "__id"]).select(*docs.columns))
+    text, n, many, sha, key = common.free(docs.columns, "__text", "__n", "__many", "__sha", "__key")
+    rows, _ = _survivors(docs, prefix, most_bits, [text, n, many])
+    alone = rows.where(~F.col(many)).select(*docs.columns)
+    some = rows.where(many).withColumn(sha, _digest(text)).withColumn(key, F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))
+    keep = _answers(rows.withColumn("doc_id", F.col("doc_id").cast("long")), text, n, many)
+    stay = keep.select(F.col("n").alias(n), F.col("sha").alias(sha), F.coalesce(F.col("keep").cast("string"), F.lit("")).alias(key))
+    kept = some.join(stay, [n, sha, key], "left_semi").dropDuplicates([n, sha, key])
+    return alone.unionByName(kept.select(*docs.columns))
 
 
 SQL = """
