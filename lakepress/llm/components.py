@@ -34,7 +34,10 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, label) of every node that has an edge; edges: two columns of long; the label is the smallest node."""
+    """(node, label) of every node that has an edge; edges: two columns of one orderable type; the label is the smallest node.
+
+    The result reads a table, which common.dropped() removes.
+    """
     u, v = edges.columns[:2]
     now = common.written(edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where("a != b").distinct(), "edges")
     mark = _fingerprint(now)
@@ -49,4 +52,5 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
             break
     else:
         raise RuntimeError("the components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    found = now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    return common.owning(found, now)
