@@ -1,22 +1,27 @@
 """Uniform sharding by a hypergeometric communication matrix (DataFrame operations only).
 
-Rows lie in `parts` logical partitions by the hash of their id.  Shard sizes
-are fixed first (they differ by one row at most).  How many rows of each
-partition go to each shard is drawn exactly: a row of the matrix is a
-multivariate hypergeometric draw from what the shards still lack, so the matrix
-has the partitions' sizes as row sums and the shards' sizes as column sums.
-Then rows are permuted within their partition, the first of them going to the
-first shard and so on, exchanged, and permuted again within the shard.  Every
-assignment of rows to shards of those sizes is equally likely, but for the hash
-that stands in for randomness: it makes the result repeatable after lost
-executors.
-
-A shard is made of `blocks` of equal size (within one row), which are columns of
-the same matrix; a slot is the block's first place plus the place within the
-block, so no task sorts a whole shard.  Rows that repeat an id and a text may
-take each other's place; their set of slots is the same. Null ids and texts are
-allowed, a null text has size 8 and the crc32 of no bytes. An empty table gives
-an empty result.
+1. Every row gets a random number, fixed by its id, its text and its place in the input,
+   and the narrow rows (no texts) are written. The number deals them into partitions of
+   about `task_rows` rows, so rows that repeat an id or a text are dealt apart too.
+2. Shard sizes are fixed (they differ by one row at most). How many rows of each
+   partition go to each shard is drawn exactly: a row of the matrix is a
+   multivariate hypergeometric draw from what the shards still lack, so the matrix
+   has the partitions' sizes as row sums and the shards' sizes as column sums.
+3. Rows are permuted within their partition, the first of them going to the
+   first shard and so on, and exchanged.
+4. They are permuted again within the shard: dealt into blocks of about
+   `task_rows` rows by a second random number, sorted by it within the block; a slot is
+   the rows of the blocks before plus the place in the block. That is the order by
+   the second number, which is uniform, and no task sorts a whole shard.
+
+Every assignment of rows to shards of those sizes is equally likely, but for the hash
+that stands in for randomness: with the same input files it is repeatable after lost
+executors, and what is written fixes it for all that follows. The matrix has a row for `task_rows`
+rows of input and a column for each shard; nothing else comes to the driver.
+
+Null ids and texts are allowed, a null text has size 8 and the crc32 of no bytes. Rows that repeat
+an id and a text are rows of their own. Other columns are not read. An empty table gives an empty
+result. The result is a table, which common.dropped() removes.
 """
 
 from __future__ import annotations
@@ -25,12 +30,13 @@ import json
 import math
 from random import Random
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows that one task permutes, as far as the matrix stays small enough to broadcast.
-TASK_ROWS = 1_000_000
-MATRIX_CELLS = 1_000_000
+from lakepress.llm import common
+
+#: Rows (of some 40 bytes) that one task permutes; beyond MOST_PARTS partitions they grow with the input, so that the matrix does not.
+TASK_ROWS, MOST_PARTS = 2_000_000, 20_000
 
 
 def hypergeometric(rng: Random, good: int, bad: int, draws: int) -> int:
@@ -86,10 +92,9 @@ def even(total: int, parts: int) -> list[int]:
     return [total // parts + (k < total % parts) for k in range(parts)]
 
 
-def _table(spark: SparkSession, bounds: list[list[int]]) -> DataFrame:
-    """(__part, __bounds) as a broadcast table; its size is bounded by MATRIX_CELLS."""
-    text = F.lit(json.dumps(bounds))
-    rows = spark.range(1).select(F.posexplode(F.from_json(text, "array<array<bigint>>")).alias("__part", "__bounds"))
+def _table(spark: SparkSession, values: list, kind: str) -> DataFrame:
+    """(part, value) as a table to broadcast: one row for each value of a list whose length is bounded by the number of partitions or blocks."""
+    rows = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")).alias("part", "value"))
     return F.broadcast(rows)
 
 
@@ -101,44 +106,41 @@ def assign(docs: DataFrame, shards: int = 24, seed: int = 17, task_rows: int = T
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(body) + 8).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
+        F.monotonically_increasing_id().alias("place"),
     )
-    total = docs.count()
-    most = max(1, math.isqrt(MATRIX_CELLS // shards))
-    wanted = max(1, math.ceil(total / task_rows / shards))
-    blocks = min(wanted, most)
-    parts = max(1, min(MATRIX_CELLS // (shards * blocks), max(8, math.ceil(total / task_rows))))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts)).cast("int")
-    found = {r["p"]: r["n"] for r in docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # at most `parts` rows
-    sizes = [found.get(p, 0) for p in range(parts)]
-    shard_sizes = even(sum(sizes), shards)
-    columns = [n for size in shard_sizes for n in even(size, blocks)]
-    bounds, first = [], []
-    for draw in matrix(sizes, columns, seed):
-        at, line = 0, []
-        for n in draw:
-            at += n
-            line.append(at)
-        bounds.append(line)
-    for size in shard_sizes:
-        at = 0
-        for n in even(size, blocks):
-            first.append(at)
-            at += n
-    from pyspark.sql import Window
-
-    order = [F.xxhash64("doc_id", "text_crc32", F.lit(seed + 1)), F.col("doc_id"), F.col("text_crc32")]
-    again = [F.xxhash64("doc_id", "text_crc32", F.lit(seed + 2)), F.col("doc_id"), F.col("text_crc32")]
-    placed = rows.withColumn("__part", part).withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
-    column = F.size(F.filter("__bounds", lambda b: b <= F.col("__rank")))
-    placed = placed.join(_table(spark, bounds), "__part").withColumn("__column", column)
-    slot = F.row_number().over(Window.partitionBy("__column").orderBy(*again)) - 1
-    starts = F.from_json(F.lit(json.dumps(first)), "array<bigint>")
-    return placed.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("rows").alias("law"),
-        F.floor(F.col("__column") / blocks).cast("int").alias("shard"),
-        (F.element_at(starts, F.col("__column") + 1) + slot).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    with common.Scratch() as scratch:
+        drawn = scratch.written(rows.select("doc_id", "size", "text_crc32", F.xxhash64("doc_id", "text_crc32", "place", F.lit(seed)).alias("u")), "drawn")
+        total = drawn.count()
+        parts = max(1, min(MOST_PARTS, math.ceil(total / task_rows)))
+        part = F.pmod(F.xxhash64("u", F.lit(1)), F.lit(parts)).cast("int")
+        found = {r["part"]: r["n"] for r in drawn.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # a row for each partition
+        bounds = []
+        for draw in matrix([found.get(p, 0) for p in range(parts)], even(total, shards), seed):
+            at, line = 0, []
+            for n in draw[:-1]:
+                at += n
+                line.append(at)
+            bounds.append(line)
+
+        blocks = max(1, min(MOST_PARTS // shards, math.ceil(total / task_rows / shards)))
+        order = [F.xxhash64("u", F.lit(2)), F.col("u")]
+        ranked = drawn.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1)
+        shard = F.size(F.filter("value", lambda b: b <= F.col("rank")))  # one step for each shard
+        dealt = ranked.join(_table(spark, bounds, "array<bigint>"), "part").select("doc_id", "size", "text_crc32", "u", shard.alias("shard"))
+        again = F.xxhash64("u", F.lit(3))
+        dealt = scratch.written(dealt.withColumn("block", F.floor(F.pmod(again, F.lit(1 << 30)) * F.lit(blocks) / F.lit(1 << 30)).cast("int")), "dealt")
+
+        sizes = {(r["shard"], r["block"]): r["n"] for r in dealt.groupBy("shard", "block").agg(F.count("*").alias("n")).collect()}  # at most MOST_PARTS rows
+        starts = []
+        for k in range(shards):
+            at = 0
+            for b in range(blocks):
+                starts.append(at)
+                at += sizes.get((k, b), 0)
+        order = [F.pmod(again, F.lit(1 << 30)), again, F.col("u")]
+        place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+        slots = dealt.withColumn("part", F.col("shard") * blocks + F.col("block")).withColumn("place", place).join(_table(spark, starts, "bigint"), "part")
+        return common.written(
+            slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("value") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")),
+            "shards",
+        )
