@@ -11,14 +11,16 @@ pseudonym is again valid and written the same way, different values keep
 different pseudonyms, and equal values have equal ones in all documents.
 restore() is the inverse for the holder of the key.
 
-Kinds: card, iban, phone, ssn, ip, date, email (letters and digits of the local
-part, each within its kind), key (access key ids), secret (hexadecimal values after
-password, token, secret or key). Values that overlap: the first that begins, and of
+Kinds: card, iban, phone, ssn, ip, date (also before a time of day), email (letters and digits
+of the local part, each within its kind), key (access key ids), secret (hexadecimal values after
+password, token, secret or key). Cards and IBANs are looked for in runs of groups of digits or
+characters: from each group on, the longest run of groups that validates and is written as such a
+value is, so what follows or precedes one does not hide it. Values that overlap: the first that begins, and of
 those the kind first in that list. What does not validate stays, as do telephone
 numbers of other countries without +, and dates outside 1900 to 2099.
 
 A null text stays null and counts as empty; rows that repeat are treated alike;
-an empty table gives an empty result. Texts are read whole.
+an empty table gives an empty result. Texts are read whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from lakepress.llm import common
 ROUNDS = 10
 SCHEMA = "doc_id long, text string, n_found long, kinds string"
 
-_UPPER, _LOWER, _DIGITS, _HEX = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _EPOCH, _DAYS = datetime.date(1900, 1, 1), 73_049  # 1900-01-01 to 2099-12-31
 _LATE = [k for k in range(_DAYS) if (_EPOCH + datetime.timedelta(days=k)).day > 12]
 #: Country codes of one and two digits; all others have three.
@@ -96,9 +98,9 @@ def _write(pattern: str, digits: str, alphabet: str = _DIGITS) -> str:
     return "".join(next(it) if c in alphabet else c for c in pattern)
 
 
-def _by_class(value: str) -> tuple[int, int, Callable[[int], str]]:
+def _by_class(value: str, classes: tuple[str, ...] = (_DIGITS, _UPPER, _LOWER)) -> tuple[int, int, Callable[[int], str]]:
     """A string as a number among those with the same classes of characters at the same places."""
-    sets = [next((s for s in (_DIGITS, _UPPER, _LOWER) if c in s), c) for c in value]
+    sets = [next((s for s in classes if c in s), c) for c in value]
     n, x = 1, 0
     for c, s in zip(value, sets):
         n, x = n * len(s), x * len(s) + s.index(c)
@@ -218,21 +220,68 @@ def _key(text: str) -> Coded | None:
 
 
 def _secret(text: str) -> Coded | None:
-    return 16 ** len(text), int(text, 16), lambda y: f"{y:x}".zfill(len(text))
-
-
-#: Kind, pattern (the value is group 1), and how a value is coded.
-KINDS: list[tuple[str, re.Pattern[str], Callable[[str], Coded | None]]] = [
-    ("card", re.compile(r"(?<![\w.-])(\d(?:[ -]?\d){12,18})(?![\w-])"), _card),
-    ("iban", re.compile(r"(?<!\w)([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"), _iban),
-    ("phone", re.compile(r"(?<![\w(+-])((?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w-])"), _phone),
-    ("phone", re.compile(r"(?<![\w(+-])(\+[1-9]\d{0,2}(?:[ ./-]?(?:\(\d{1,5}\)|\d{1,14})){1,6})(?![\w@-])"), _abroad),
-    ("ssn", re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])"), _ssn),
-    ("ip", re.compile(r"(?<![\w.])(\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\d)"), _ip),
-    ("date", re.compile(r"(?<![\w./-])(\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-]|\.\d)"), _date),
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"), _email),
-    ("key", re.compile(r"(?<!\w)((?:AKIA|ASIA)[A-Z0-9]{16})(?!\w)"), _key),
-    ("secret", re.compile(r"(?i:password|passwd|token|secret|api[_-]?key)\s*[=:]\s*[\"']?([0-9a-f]{16,128})(?![0-9A-Za-z])"), _secret),
+    """Hexadecimal digits in lower case as a number; with upper case, every letter stays one of its case."""
+    if text == text.lower():
+        return 16 ** len(text), int(text, 16), lambda y: f"{y:x}".zfill(len(text))
+    return _by_class(text, (_DIGITS, "abcdef", "ABCDEF"))
+
+
+Found = tuple[int, int, str]  # start, end, value
+
+
+def _matches(pattern: str) -> Callable[[str], Iterator[Found]]:
+    """All matches; the value is group 1."""
+    compiled = re.compile(pattern)
+    return lambda text: ((m.start(1), m.end(1), m[1]) for m in compiled.finditer(text))
+
+
+def _grouped(runs: str, group: str, begins: str, fits: Callable[[list[int]], bool], valid: Callable[[str], object]) -> Callable[[str], Iterator[Found]]:
+    """Values inside runs of groups: from each group that `begins` one on, the longest whose sizes fit and that is valid."""
+    run_of, group_of, begin = re.compile(runs), re.compile(group), re.compile(begins)
+
+    def find(text: str) -> Iterator[Found]:
+        for m in run_of.finditer(text):
+            spans = [g.span() for g in group_of.finditer(text, m.start(), m.end())]
+            k = 0
+            while k < len(spans):
+                last = None
+                if begin.match(text, spans[k][0]):
+                    for j in range(min(len(spans), k + 10) - 1, k - 1, -1):
+                        value = text[spans[k][0] : spans[j][1]]
+                        if fits([b - a for a, b in spans[k : j + 1]]) and valid(value):
+                            last = j
+                            yield spans[k][0], spans[j][1], value
+                            break
+                k = k + 1 if last is None else last + 1
+
+    return find
+
+
+# How card numbers are divided.
+_CARD_GROUPS = {(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 4, 4, 4, 2), (4, 4, 4, 4, 1), (4, 6, 5), (4, 6, 4), (4, 4, 4, 1), (4, 4, 4, 2), (4, 4, 4, 3), (6, 13)}
+
+
+def _as_card(sizes: list[int]) -> bool:
+    return tuple(sizes) in _CARD_GROUPS if len(sizes) > 1 else 13 <= sizes[0] <= 19
+
+
+def _as_iban(sizes: list[int]) -> bool:
+    """One group, or groups of four and a last one of at most four."""
+    return 15 <= sum(sizes) <= 34 and (len(sizes) == 1 or (all(n == 4 for n in sizes[:-1]) and sizes[-1] <= 4))
+
+
+#: Kind, what finds its values, and how a value is coded.
+KINDS: list[tuple[str, Callable[[str], Iterator[Found]], Callable[[str], Coded | None]]] = [
+    ("card", _grouped(r"(?<![\w.-])\d+(?:[ -]\d+)*(?![\w-])", r"\d+", r"\d", _as_card, _card), _card),
+    ("iban", _grouped(r"(?<!\w)[A-Z0-9]+(?: [A-Z0-9]+)*(?!\w)", r"[A-Z0-9]+", r"[A-Z]{2}\d{2}", _as_iban, _iban), _iban),
+    ("phone", _matches(r"(?<![\w(+-])((?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w-])"), _phone),
+    ("phone", _matches(r"(?<![\w(+-])(\+[1-9]\d{0,2}(?:[ ./-]?(?:\(\d{1,5}\)|\d{1,14})){1,6})(?![\w@-])"), _abroad),
+    ("ssn", _matches(r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])"), _ssn),
+    ("ip", _matches(r"(?<![\w.])(\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\d)"), _ip),
+    ("date", _matches(r"(?<![\w./-])(\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?:(?=T\d{2}:\d{2})|(?![\w/-]|\.\d))"), _date),
+    ("email", _matches(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"), _email),
+    ("key", _matches(r"(?<!\w)((?:AKIA|ASIA)[A-Z0-9]{16})(?!\w)"), _key),
+    ("secret", _matches(r"(?i:password|passwd|token|secret|api[_-]?key)\s*[=:]\s*[\"']?([0-9a-fA-F]{16,128})(?![0-9A-Za-z])"), _secret),
 ]
 _ANY_DIGIT = re.compile(r"\d")
 
@@ -248,12 +297,12 @@ class Pseudonyms:
         """Start, end, kind and coding of the values, which do not overlap."""
         has_digit, has_at = bool(_ANY_DIGIT.search(text)), "@" in text
         found = []
-        for rank, (kind, pattern, code) in enumerate(self.kinds):
-            if not (has_at if kind == "email" else has_digit or kind == "key"):
+        for rank, (kind, values, code) in enumerate(self.kinds):
+            if not (has_at if kind == "email" else has_digit or kind in ("key", "secret")):
                 continue
-            for m in pattern.finditer(text):
-                if coded := code(m[1]):
-                    found.append((m.start(1), rank, m.end(1), kind, coded))
+            for start, end, value in values(text):
+                if coded := code(value):
+                    found.append((start, rank, end, kind, coded))
         out, free = [], 0
         for start, _, end, kind, coded in sorted(found, key=lambda x: x[:2]):
             if start >= free:
