@@ -96,13 +96,131 @@ def test_convolution_tables():
     vectors = rng.normal(size=(256, langid.DIMENSIONS)).astype(np.float32)
     for w in (2, 3, 4):
         f = rng.normal(size=(w, langid.DIMENSIONS, 5)).astype(np.float32)
-        net = langid.Model(["a"], [langid._pair_tables(w, vectors, f)], [np.zeros(5, np.float32)], np.eye(5, dtype=np.float32), np.zeros(5, np.float32))
+        net = langid.Model(["a"], (w,), [langid._pair_tables(w, vectors, f)], [np.zeros(5, np.float32)], np.eye(5, dtype=np.float32), np.zeros(5, np.float32))
         n = langid.WINDOW - w + 1
         plain = sum(vectors[x][:, k : k + n] @ f[k] for k in range(w))
-        if w % 2 == 0:
-            assert np.allclose(net.logits(x), np.maximum(plain.max(1), 0), atol=1e-4)
-        else:  # an odd width needs one byte more, the last place is left out
-            assert np.allclose(net.logits(x), np.maximum(plain[:, :-1].max(1), 0), atol=1e-4)
+        assert np.allclose(net.logits(x), np.maximum(plain.max(1), 0), atol=1e-4)
+
+
+def test_languages_against_plain_loops(spark, corpus, monkeypatch):
+    """Every prediction from vectors and filters, window by window and place by place; long texts in parts."""
+    monkeypatch.setattr(langid, "PART", 512)
+    docs = corpus[0].where("doc_id < 25 or doc_id >= 900")
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(256, langid.DIMENSIONS)).astype(np.float32)
+    filters = [rng.normal(size=(w, langid.DIMENSIONS, 3)).astype(np.float32) for w in langid.WIDTHS]
+    biases = [rng.normal(size=3).astype(np.float32) for _ in filters]
+    out, bias = rng.normal(size=(9, 2)).astype(np.float32) / 20, np.array([0.1, 0], np.float32)
+    net = langid.Model(["p", "q"], langid.WIDTHS, [langid._pair_tables(w, vectors, f) for w, f in zip(langid.WIDTHS, filters)], biases, out, bias)
+    got = sorted((str(r.doc_id), r.lang_pred, r.score) for r in langid.predict(docs, net).collect())
+    want = []
+    for r in docs.collect():
+        raw, total = (r.text or "").encode(), np.zeros(2)
+        for at in range(0, len(raw), 256):
+            part = raw[at : at + 256]
+            embedded = vectors[np.frombuffer(part.ljust(256, b"\0"), np.uint8)]
+            hidden = []
+            for w, f, b in zip(langid.WIDTHS, filters, biases):
+                places = np.array([sum(embedded[i + k] @ f[k] for k in range(w)) for i in range(256 - w + 1)])
+                hidden += np.maximum(places.max(0) + b, 0).tolist()
+            total += len(part) * (np.array(hidden) @ out + bias)
+        p = np.exp(total / max(1, len(raw)))
+        p /= p.sum()
+        letters = any(c.isalpha() for c in r.text or "")
+        want.append((str(r.doc_id), ["p", "q"][int(p.argmax())] if letters else "und", float(p.max()) if letters else 0.0))
+    for g, w in zip(got, sorted(want)):
+        assert g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-3
+
+
+def test_toxicity_against_plain_loops():
+    """Words, n-grams and means by loops over strings, and the bag of vectors through the softmax; long texts in parts."""
+    import pyarrow as pa
+
+    from lakepress.llm.bytesops import hash_spans
+
+    rng, buckets, golden, mask = np.random.default_rng(6), toxicity.BUCKETS, 0x9E3779B97F4A7C15, (1 << 64) - 1
+    vectors, softmax, bias = rng.normal(size=(buckets, 4)), rng.normal(size=(4, 2)), np.array([0.2, -0.1])
+
+    def mix(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & mask
+        return h ^ (h >> 31)
+
+    def word_vector(word):
+        raw = word.encode()
+        found = [int(hash_spans(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))[0])]
+        marked = b"<" + raw + b">"
+        for n in toxicity.NGRAMS:
+            for i in range(len(marked) - n + 1):
+                h = n
+                for c in marked[i : i + n]:
+                    h = (h * golden + c + 1) & mask
+                found.append(mix(h))
+        return np.mean([vectors[h >> (64 - 17)] for h in found], 0)
+
+    texts = ["Bad word, bad WORD again", "", "é ü x", "one " * 50 + "two", "a" * 300, None, "."]
+    model = toxicity.Model((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    want = []
+    for t in texts:
+        low = "".join(c.lower() if c.isascii() else c for c in t or "")
+        own = "".join(c if c.isalnum() else " " for c in low).split()
+        weights = {w: math.sqrt(own.count(w)) for w in own}
+        bag = toxicity.SCALE * sum((word_vector(w) * x for w, x in weights.items()), np.zeros(4)) / max(sum(weights.values()), 1e-9)
+        z = bag @ softmax + bias
+        want.append(z[1] - z[0])
+    assert np.allclose(toxicity.Scorer(model).logits(pa.array(texts)), want, atol=1e-3)
+    for part in (64, 8):
+        scorer = toxicity.Scorer(model)
+        long = np.frombuffer(("one " * 50 + "two").encode(), np.uint8)
+        toxicity_part, toxicity.PART = toxicity.PART, part
+        try:
+            assert abs(toxicity.SCALE * scorer._one(long) + model.intercept - want[3]) < 1e-3
+        finally:
+            toxicity.PART = toxicity_part
+
+
+def test_quality_against_plain_loops(monkeypatch):
+    """Gated attention passage by passage; long texts in parts that are merged."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    shapes = [(quality.WIDTH, quality.HIDDEN), (quality.HIDDEN,), (quality.HIDDEN, quality.GATE), (quality.HIDDEN, quality.GATE), (quality.GATE,), (quality.HIDDEN,), (1,)]
+    model = quality.Model(rng.normal(size=quality.WIDTH), rng.random(quality.WIDTH) + 0.5, [rng.normal(size=s) / 3 for s in shapes], 1.3, -0.2)
+    texts = ["short", "", None, "abc DEF 12. " * 300, "é" * 1000, "word " * 51 + "x" * 400]
+    enc, enc_b, v, u, w, c, d = model.weights
+    want = []
+    for t in texts:
+        raw = (t or "").encode()
+        scores, vectors = [], []
+        for at in range(0, max(1, len(raw)), quality.PASSAGE):
+            part = raw[at : at + quality.PASSAGE]
+            x, _ = quality.describe(np.frombuffer(part, np.uint8), np.array([0, len(part)]))
+            h = np.tanh((x[0] - model.mean) / model.spread @ enc + enc_b)
+            vectors.append(h)
+            scores.append(float((np.tanh(h @ v) / (1 + np.exp(-(h @ u)))) @ w))
+        a = np.exp(np.array(scores) - max(scores))
+        z = (a / a.sum()) @ np.array(vectors)
+        want.append(1.3 * (z @ c + d[0]) - 0.2)
+    for part in (1 << 20, 512):
+        monkeypatch.setattr(quality, "PART", part)
+        assert np.allclose(model.logits(pa.array(texts)), want, atol=1e-4)
+
+
+def test_samples_are_bounded_and_whole(spark):
+    """Ids with both labels and held-out ids are out; rows that repeat count once; whole texts; the bounds hold where one id has most rows."""
+    from lakepress.llm import samples
+
+    docs = spark.createDataFrame([(k, f"text {k} " + "x" * 200) for k in range(60)] + [(1, f"other {k} " + "y" * 200) for k in range(400)] + [(2, "same")] * 300 + [(3, "z" * 90_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(5, 0), (5, 1), (None, 1)], "doc_id long, toxic int")
+    seen = []
+    learn = lambda texts, y, share: (sorted(texts), y.tolist(), share)
+    for rows, size in ((1000, 1 << 20), (40, 1 << 20), (1000, 20_000)):
+        texts, y, share = samples.fitted(docs, labels, "toxic", rows, size, 5, 0, learn)
+        seen.append(texts)
+        assert len(texts) == len(y) == len(set(texts)) and not any(t.startswith("text 5 ") for t in texts)
+        assert {int(t.split()[1]) for t in texts if t.startswith("text")} <= {k for k in range(60) if held(k, 5)}
+        assert len(texts) <= 1.5 * rows and (size > 90_000 or sum(map(len, texts)) < 3 * size)
+    assert ("z" * 90_000 in seen[0]) == bool(held(3, 5)) and abs(share - 0.5) < 0.2
 
 
 def test_windows_cover_texts():
@@ -138,12 +256,12 @@ def copies(spark):
     return spark.createDataFrame(data, "doc_id long, text string, lang string, label long")
 
 
-def all_pairs(docs, threshold=0.8):
+def all_pairs(docs, threshold=0.8, floor_share=near_dedup.FLOOR_SHARE):
     """Classes of texts by the weighted similarity of all pairs."""
     import pyarrow as pa
 
     rows = docs.collect()
-    idf = near_dedup.inverse_frequencies(near_dedup.document_shares(docs))
+    idf = near_dedup.frequencies(docs, floor_share)
     texts = sorted({r.text or "" for r in rows})
     sets = []
     for _, _, data, offsets in groups(pa.array(texts)):
@@ -167,6 +285,59 @@ def all_pairs(docs, threshold=0.8):
     return sorted(sorted(v) for v in out.values())
 
 
+def test_frequencies_against_plain_counts(spark):
+    """Shares of documents by loops; copies, exact and near, count once by their first sample; lossy counting loses none."""
+    import pyarrow as pa
+
+    vocabulary = words("abcdefghij", 800)
+    rows = []
+    for k in range(300):
+        own = [RNG.choice(vocabulary) for _ in range(40)]
+        own[5:5] = "this common line is here often".split() if k % 3 else []
+        own[9:9] = "that one is rare in truth".split() if k % 10 == 0 else []
+        rows.append(" ".join(own))
+    base = [RNG.choice(vocabulary) for _ in range(80)]
+    rows += [" ".join(base)] * 150 + [" ".join(edited(base, 1)) for _ in range(150)] + ["", None]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string").repartition(3)
+    texts = [t for t in rows if t]
+    seen, every = defaultdict(set), set()
+    for _, _, data, offsets in groups(pa.array(texts)):
+        ids, _, first = near_dedup.weighted_sets(data, offsets, None)
+        key = near_dedup.samples(ids, np.ones(len(ids), np.float32), first, 1)[:, 0]
+        for k, (a, b) in enumerate(zip(first[:-1], first[1:])):
+            every.add(int(key[k]))
+            for x in ids[a:b].tolist():
+                seen[x].add(int(key[k]))
+    for counted in (1 << 21, 400):
+        ids, shares = near_dedup.frequent(docs, 1 / 20, counted)
+        got = dict(zip(ids.tolist(), shares.tolist()))
+        want = {x: len(s) / len(every) for x, s in seen.items() if len(s) / len(every) >= 1 / 20}
+        assert len(every) < 400 and got.keys() <= want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in got)
+        in_rows = {x: 0 for x in want}
+        for t in texts:
+            raw = t.encode()
+            for x in near_dedup.weighted_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), None)[0].tolist():
+                if x in in_rows:
+                    in_rows[x] += 1
+        assert {x for x in want if in_rows[x] >= len(texts) / 20} <= got.keys()
+    weigh = near_dedup.Frequencies(np.array([9, 4], np.uint64), np.array([0.5, 1 / 64]), 1 / 64)
+    assert np.allclose(weigh(np.array([4, 9, 5], np.uint64)), [1, math.log(3) / math.log(65), 1])
+    assert near_dedup.frequent(docs.limit(0))[0].size == 0
+
+
+def test_counter_misses_no_more_than_its_error():
+    rng = np.random.default_rng(1)
+    counter, true = near_dedup.Counter(200), defaultdict(int)
+    for _ in range(50):
+        keys = (rng.zipf(1.3, 300) % 5000).astype(np.uint64)
+        counter.add(keys)
+        for k in keys.tolist():
+            true[k] += 1
+    counter.settle()
+    got = dict(zip(counter.keys.tolist(), counter.counts.tolist()))
+    assert len(got) <= 200 and all(got.get(k, 0) <= n <= got.get(k, 0) + counter.error for k, n in true.items())
+
+
 def test_near_copies(spark, copies):
     want = all_pairs(copies)
     assert max(map(len, want)) > 30
@@ -225,6 +396,39 @@ def test_copies_go_by_id_and_text(spark):
     assert {x for x in kept if x[1] not in near[2:]} == {(1, " ".join(base)), (None, lone[0]), (None, lone[1]), (7, lone[2]), (8, lone[3])} and len(kept) == 6
 
 
+def test_clashing_names_and_repeated_rows(spark, copies):
+    """distinct() gives the rows that stay as they were, next to columns with names that operators use."""
+    from pyspark.sql import functions as F
+
+    import os
+
+    clash = copies.withColumns({k: F.lit(j) for j, k in enumerate(("__own", "__maybe", "__TID", "__bucket", "__part", "__b", "class", "tid", "keys"))})
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    kept = near_dedup.distinct(clash)
+    rows = kept.collect()
+    assert kept.columns == clash.columns and {tuple(r) for r in rows} <= {tuple(r) for r in clash.collect()}
+    assert len(rows) == len(all_pairs(copies))  # one of each class, also of the class with a repeated row
+    assert len(set(os.listdir(folder)) - before) == 1
+    near_dedup.common.dropped(kept)
+    assert set(os.listdir(folder)) == before
+
+
+def test_recall_of_near_copies(spark):
+    """Of pairs at a similarity of 0.8 or more, made by edits of known number, at least 0.9 share a class."""
+    vocabulary = words("abcdefghijkl", 4000)
+    rows, pairs = [], []
+    for k in range(150):
+        base = [RNG.choice(vocabulary) for _ in range(RNG.randint(80, 300))]
+        copy = edited(base, max(1, len(base) // 60))
+        x, y = ({" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in (base, copy))
+        if len(x & y) / len(x | y) >= 0.8:
+            pairs.append((2 * k, 2 * k + 1))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    of = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 60 and np.mean([of[a] == of[b] for a, b in pairs]) >= 0.9
+
+
 def test_sampling_estimates_weighted_similarity():
     rng = np.random.default_rng(2)
     ids = np.arange(1, 401, dtype=np.uint64) * np.uint64(7919)
@@ -267,6 +471,35 @@ def test_pipeline(spark, tables):
     assert corpus_pipeline.run(spark, tables).count() == frames[5].count()
 
 
+def test_pipeline_on_odd_documents(spark, tmp_path, copies):
+    """Null and empty texts, null and repeated ids, repeated rows, a long text, clashing names; and no documents at all."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from lakepress.llm import common
+
+    odd = copies.withColumns({k: F.lit(j) for j, k in enumerate(("__n", "__text", "__own", "__bucket", "keep", "score"))})
+    long = [("w%d " * 30_000) % tuple(range(30_000)), "a b c d e f g h"]
+    odd = odd.unionByName(spark.createDataFrame([(5000 + k, t, None, None, *range(6)) for k, t in enumerate(long)], odd.schema))
+    for name, frame in (("some", odd), ("none", odd.limit(0))):
+        folder = str(tmp_path / name)
+        frame.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(k, int(k % 7 > 0), 0) for k in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "b c d e"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        source = {tuple(r) for r in docs.collect()}
+        for step, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.written(stage(spark, docs, folder), step)
+            rows = [tuple(r) for r in docs.collect()]
+            assert docs.columns == frame.columns and set(rows) <= source
+            if step == "exact_dedup":
+                assert len({r[1] or "" for r in rows}) == len(rows)
+        packed = corpus_pipeline.run(spark, folder).collect()
+        assert sorted({str(r.doc_id) for r in packed}) == sorted({str(r[0]) for r in rows})
+        if name == "some":
+            assert any(r[0] == 5000 for r in rows) and not any(r[0] == 5001 for r in rows)
+
+
 def test_the_rest_stands_alone():
     """Nothing else imports this subpackage, and the entry file works without it."""
     import os
