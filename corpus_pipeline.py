@@ -3,7 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each
 stage's rows to the shared folder and reads them again for the next one, so a lost
 executor costs one stage at most. All stages but the last return the columns of
-`documents`; the last returns the packed pieces.
+`documents` as they are; the last returns the packed pieces. What a stage or an
+operator writes on the way is removed when the next stage is written.
+
+A null text counts as empty: it is not toxic, one document of all empty ones stays (the
+largest id, nulls smallest), it is no near copy of others and is packed as the end id.
+Null ids are ids like others. Rows that repeat id and text become one in exact dedup. Very long
+texts are read whole. Extra columns are kept whatever their names, until packing. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,7 +64,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        before, docs = docs, common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, made = docs, stage(spark, docs, sf_dir)
+        docs = common.written(made, f"stage-{name}")
+        common.dropped(made)
         if k:
             common.dropped(before)
     return docs
