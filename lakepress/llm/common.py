@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,10 +97,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """`run`, giving the task's freed memory back to the system: workers are kept for later tasks, and their heaps add up."""
+    """`run`, giving the task's freed memory back to the system: workers are kept for later tasks, and their heaps add up.
+
+    Arrow's own pool keeps what it has freed for itself, so batches are put into the system's.
+    """
 
     @functools.wraps(run)
     def inner(batches: Iterator) -> Iterator:
+        pa.set_memory_pool(pa.system_memory_pool())
         yield from run(batches)
         try:
             ctypes.CDLL(None).malloc_trim(0)

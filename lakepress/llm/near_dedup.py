@@ -55,7 +55,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 #: The least share of documents that counts; shingles that a task counts at a time.
 FLOOR_SHARE = 1 / 64
-COUNTED = 1 << 21
+COUNTED = 1 << 19
 CELL_TEXTS, CELL_SHINGLES = 2_000, 4_000_000
 
 _DRAWS_BITS = 16

@@ -56,12 +56,16 @@ KEPT_WORDS = 1 << 20
 #: A longer text is read in parts of so many bytes.
 PART = 8 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_AT_ONCE = 1 << 13
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def features(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Feature buckets of words, and the first of each word's (n + 1 places); the word itself comes first."""
+    """Feature buckets of words, and the first of each word's (n + 1 places); the word itself comes first. Some words at a time, to spare memory."""
+    if len(starts) > _AT_ONCE:
+        parts = [features(low, starts[k : k + _AT_ONCE], ends[k : k + _AT_ONCE], hashes[k : k + _AT_ONCE], buckets) for k in range(0, len(starts), _AT_ONCE)]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(at) for _, at in parts]))])
     sizes = ends - starts + 2
     at = np.concatenate([[0], np.cumsum(sizes)])
     marked = np.empty(at[-1], np.uint8)
@@ -187,22 +191,26 @@ def train(texts: list[str], labels: np.ndarray, share: float, epochs: int | None
             rows = index.lookup(words.hashes)
         for a, b in zip(words.first[:-1], words.first[1:]):
             unique, count = np.unique(rows[a:b], return_counts=True)
-            doc_words.append(unique)
+            doc_words.append(unique.astype(np.int32))
             doc_counts.append((np.sqrt(count) / np.sqrt(count).sum()).astype(np.float32))
             if not labels[len(classes)] and b > a:  # any run of words of a clean text is clean: short ones keep single words near zero
                 for n in SHORT:
                     i = int(rng.integers(a, max(a + 1, b - n + 1)))
                     unique, count = np.unique(rows[i : min(b, i + n)], return_counts=True)
-                    extra.append((unique, (np.sqrt(count) / np.sqrt(count).sum()).astype(np.float32)))
+                    extra.append((unique.astype(np.int32), (np.sqrt(count) / np.sqrt(count).sum()).astype(np.float32)))
             classes.append(labels[len(classes)])
     feature_ids, places = np.concatenate(ids) if ids else np.zeros(0, np.int32), np.concatenate(at)
+    del ids, at, index
 
     mine = float(labels.mean())
     doc_words += [x for x, _ in extra]
     doc_counts += [x for _, x in extra]
     labels = np.concatenate([labels, np.zeros(len(extra), np.int64)])
     in_docs = np.bincount(np.concatenate(doc_words), minlength=len(places) - 1)
-    seen = np.bincount(feature_ids, weights=np.repeat(in_docs, np.diff(places)), minlength=BUCKETS)
+    seen = np.zeros(BUCKETS)
+    for k in range(0, len(in_docs), _AT_ONCE):
+        to = min(k + _AT_ONCE, len(in_docs))
+        seen += np.bincount(feature_ids[places[k] : places[to]], weights=np.repeat(in_docs[k:to], np.diff(places[k : to + 1])), minlength=BUCKETS)
     rare = (seen < MIN_DOCS)[:, None]
     epochs = epochs or min(MOST_EPOCHS, max(EPOCHS, EPOCHS * FEW_ROWS // max(1, len(classes))))
 
@@ -251,7 +259,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, epochs: int | None
                     x[rows] *= 1 - rate * DECAY
                 x[rows] -= rate * (m[rows] / (1 - 0.9 ** min(step, 200))) / (np.sqrt(v[rows] / (1 - 0.99 ** min(step, 2000))) + 1e-6)
     own = vectors @ (softmax[:, 1] - softmax[:, 0])
-    word_value = np.add.reduceat(own[feature_ids], places[:-1]) / np.diff(places)
+    word_value = np.concatenate([np.add.reduceat(own[feature_ids[places[k] : places[k + _AT_ONCE] if k + _AT_ONCE < len(places) else None]], places[k : min(k + _AT_ONCE, len(places) - 1)] - places[k]) for k in range(0, len(places) - 1, _AT_ONCE)]) / np.diff(places)
     z = np.array([SCALE * float(word_value[w] @ c) for w, c in zip(doc_words[: len(classes)], doc_counts)])
     slope, intercept = calibrated(z, np.asarray(classes), share)
     return Model((own * slope).astype(np.float32), intercept)
