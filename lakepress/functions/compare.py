@@ -10,6 +10,8 @@ import re
 
 import numpy as np
 
+from lakepress.functions.spans import WHITE
+
 _SPACES = r"\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _S, _NOT_S = f"[{_SPACES}]", f"[^{_SPACES}]"
 _WORDS = re.compile(rf"{_S}+|(?:(?!{_S}).)+", re.S)
@@ -81,7 +83,7 @@ def heatmap(before: str, after: str, mode: str = "ultra") -> list[tuple[str, flo
         if mode == "universal":
             out.append((token, 1.0 if k else 0.0, k))
             continue
-        bare = token.strip()
+        bare = token.strip(WHITE)
         score = 1.0 if any(p.search(bare) for p in _PRESERVE) else 0.15 if bare.lower() in STOPWORDS else 0.4 + min(len(bare) / 40, 0.2)
         out.append((token, score, k))
     return out
@@ -96,50 +98,89 @@ def preserved(text: str) -> list[tuple[str, str]]:
             if kind != "code-block" and any(m.start() < e and m.end() > s for s, e in taken):
                 continue
             taken.append(m.span())
-            flat = re.sub(f"{_S}+", " ", m[0]).strip()
-            out.append((kind, flat if len(flat) <= PREVIEW else flat[: PREVIEW - 1] + "…"))
+            flat = re.sub(f"{_S}+", " ", m[0]).strip(WHITE)
+            wide = utf16(flat)
+            out.append((kind, flat if len(wide) <= PREVIEW else plain(wide[: PREVIEW - 1]) + "…"))
     return out
 
 
+def utf16(text: str) -> str:
+    """A character for each UTF-16 code unit."""
+    return text if text.isascii() or max(text) < "\U00010000" else "".join(map(chr, np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").tolist()))
+
+
+def plain(units: str) -> str:
+    """Back again; half a character at the end goes."""
+    return units.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "ignore")
+
+
 def within(a: str, b: str, edits: int) -> bool:
-    """Whether the edit distance is at most `edits`: only the diagonals within reach are filled."""
+    """Whether the edit distance is at most `edits`: differences of a whole column of the table at once, as bits of two long numbers."""
     if abs(len(a) - len(b)) > edits:
         return False
-    row = {j: j for j in range(min(len(b), edits) + 1)}
-    for i, c in enumerate(a, 1):
-        new: dict[int, int] = {}
-        for j in range(max(0, i - edits), min(len(b), i + edits) + 1):
-            if j == 0:
-                new[0] = i
-                continue
-            new[j] = min(row.get(j, edits + 1) + 1, new.get(j - 1, edits + 1) + 1, row.get(j - 1, edits + 1) + (c != b[j - 1]))
-        if not new or min(new.values()) > edits:
+    if not a or not b:
+        return True
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    every, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    more, less, distance = every, 0, len(a)  # where the column grows or falls by one, and its last number
+    for j, c in enumerate(b, 1):
+        match = places.get(c, 0)
+        along = match | less
+        match |= (((match & more) + more) ^ more) & every
+        grows, falls = (less | ~(match | more)) & every, more & match
+        distance += bool(grows & top) - bool(falls & top)
+        if distance - (len(b) - j) > edits:
             return False
-        row = new
-    return row.get(len(b), edits + 1) <= edits
+        grows, falls = (grows << 1 | 1) & every, falls << 1 & every
+        more, less = (falls | ~(along | grows)) & every, grows & along
+    return distance <= edits
+
+
+_RUN, _RUN_BITS, _MOST_FUZZY = 3, 12, 2_000
+
+
+def _runs(text: str) -> np.ndarray:
+    """How many runs of three code units fall on each of 2**12 places."""
+    codes = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint64)
+    if len(codes) < _RUN:
+        return np.zeros(1 << _RUN_BITS, np.int16)
+    h = (codes[:-2] * np.uint64(0x9E3779B97F4A7C15) + codes[1:-1]) * np.uint64(0x9E3779B97F4A7C15) + codes[2:]
+    return np.bincount(((h * np.uint64(0xD1342543DE82EF95)) >> np.uint64(64 - _RUN_BITS)).astype(np.int64), minlength=1 << _RUN_BITS).astype(np.int16)
 
 
 def drop_similar_blocks(text: str, fuzzy: bool = True) -> tuple[str, int]:
-    """Paragraphs that equal, or nearly equal, one that was kept go; a worded marker ends the text."""
+    """Paragraphs that equal, or nearly equal, one that was kept go; a worded marker ends the text.
+
+    Texts within k edits share all but 3 k of their runs of three; kept paragraphs with fewer are not compared.
+    """
     blocks = text.split("\n\n")
     if len(blocks) < 2:
         return text, 0
     fuzzy = fuzzy and len(blocks) <= 400
     kept: list[str] = []
-    normal: list[str] = []
     known: set[str] = set()
+    near: list[tuple[str, int]] = []  # kept paragraphs that others are compared with: normal form, and length as written; and their runs
+    runs = np.zeros((0, 1 << _RUN_BITS), np.int16)
     for block in blocks:
-        own = re.sub(f"{_S}+", " ", block.lower()).strip()
-        if len(own) >= 80:
-            if own in known:
-                continue
-            if fuzzy and len(own) <= 2_000 and any(
-                len(k) <= 2_000 and (edits := int((1 - 0.9) * max(len(own), len(k)))) > 0 and within(own, o, edits) for k, o in zip(kept, normal)
-            ):
+        own = re.sub(f"{_S}+", " ", block.lower()).strip(WHITE)
+        wide = utf16(own)
+        if len(wide) >= 80 and own in known:
+            continue
+        size = len(utf16(block))
+        mine = _runs(wide) if fuzzy and (size <= _MOST_FUZZY or 80 <= len(wide) <= _MOST_FUZZY) else None
+        if fuzzy and 80 <= len(wide) <= _MOST_FUZZY:
+            shared = np.minimum(runs[: len(near)], mine).sum(1, dtype=np.int32).tolist()
+            if any((edits := int((1 - 0.9) * max(len(wide), n))) > 0 and have >= max(len(wide), len(x)) - 2 - _RUN * edits and within(wide, x, edits) for (x, n), have in zip(near, shared)):
                 continue
         kept.append(block)
-        normal.append(own)
         known.add(own)
+        if fuzzy and size <= _MOST_FUZZY:
+            if len(near) == len(runs):
+                runs = np.concatenate([runs, np.zeros((max(8, len(runs)), runs.shape[1]), np.int16)])
+            runs[len(near)] = mine
+            near.append((wide, size))
     removed = len(blocks) - len(kept)
     if not removed:
         return text, 0
@@ -161,8 +202,8 @@ def strip_comments(text: str) -> str:
 
 def arrays(text: str) -> list[list[dict]]:
     """Arrays of at least 8 objects in lines that begin with [ or in fenced JSON; each text of one counts once."""
-    found = [x.strip() for x in text.split("\n") if x.strip().startswith("[")]
-    found += [m[1].strip() for m in re.finditer(rf"```json{_S}*(.*?)```", text, re.S)]
+    found = [y for x in text.split("\n") if (y := x.strip(WHITE)).startswith("[")]
+    found += [m[1].strip(WHITE) for m in re.finditer(rf"```json{_S}*(.*?)```", text, re.S)]
     out = []
     for candidate in dict.fromkeys(found):
         try:

@@ -8,6 +8,7 @@ lane's text, and one trip over a batch costs less than one for each lane and gat
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from lakepress.functions import compare, prose, spans
@@ -27,7 +28,7 @@ def tokens(text: str) -> int:
 
 def units(text: str) -> int:
     """Length in UTF-16 code units."""
-    return len(text.encode("utf-16-le", "surrogatepass")) // 2
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
 def truncate(text: str) -> tuple[str, int]:
@@ -42,7 +43,7 @@ def truncate(text: str) -> tuple[str, int]:
         keep = row is None
         if row is not None:
             own = spans.normalize_line(row)
-            novel = len(own) >= spans.MIN_NOVEL_CHARS and own not in seen
+            novel = units(own) >= spans.MIN_NOVEL_CHARS and own not in seen
             if novel:
                 seen.add(own)
             keep = novel or bool(_SEVERITY.search(row))
@@ -76,7 +77,7 @@ def filter_lines(text: str) -> str:
 
 
 def log_shaped(text: str) -> bool:
-    full = [x for x in text.split("\n") if spans._EDGES.sub("", x)]
+    full = [x for x in text.split("\n") if x.strip(spans.WHITE)]
     return len(full) >= 8 and sum(map(spans.is_log_line, full)) / len(full) >= 0.6
 
 
@@ -94,27 +95,55 @@ def _rtk(text: str, shell: bool) -> tuple[str, str | None, list[str], list[str]]
     return now, None, notes + ["rtk-truncate"] * bool(lost), []
 
 
-def apply(engine: str, text: str, shell: bool, intensity: str, fuzzy: bool) -> tuple[str, str | None, list[str], list[str]]:
-    """Output, skip reason, techniques, rules."""
-    if engine == "dedup":
-        out, removed = compare.drop_similar_blocks(text, fuzzy)
-        return out, None, ["session-dedup"] * bool(removed), []
-    if engine == "truncate":
-        out, _ = truncate(text)
-        return out, None, ["rtk-truncate"] * (out != text), []
-    if engine == "rtk":
-        return _rtk(text, shell)
-    done = prose.condense(text, "lite" if engine == "lite" else intensity)
+#: Output, skip reason, techniques, rules.
+Applied = tuple[str, "str | None", list[str], list[str]]
+#: (text, whether a shell tool wrote it, intensity, fuzzy) -> Applied
+Engine = Callable[[str, bool, str, bool], Applied]
+#: Why a step must be taken back, from the texts before and after it; None where it may stand.
+Check = Callable[[str, str], "str | None"]
+
+
+def _dedup(text: str, shell: bool, intensity: str, fuzzy: bool) -> Applied:
+    out, removed = compare.drop_similar_blocks(text, fuzzy)
+    return out, None, ["session-dedup"] * bool(removed), []
+
+
+def _truncate(text: str, shell: bool, intensity: str, fuzzy: bool) -> Applied:
+    out, _ = truncate(text)
+    return out, None, ["rtk-truncate"] * (out != text), []
+
+
+def _prose(text: str, shell: bool, intensity: str, fuzzy: bool) -> Applied:
+    done = prose.condense(text, intensity)
     return done.output, done.skipped, done.techniques, done.rules
 
 
-def step(engine: str, text: str, shell: bool = False, intensity: str = "full", fuzzy: bool = True, check: bool = False) -> dict:
-    """One engine with its accounting: no output without fewer tokens, nor (with `check`) with lost facts."""
-    out, skipped, techniques, rules = apply(engine, text, shell, intensity, fuzzy)
-    before, after = tokens(text), tokens(out)
+#: The registry that cascades read; more engines may be added.
+ENGINES: dict[str, Engine] = {
+    "dedup": _dedup,
+    "rtk": lambda text, shell, intensity, fuzzy: _rtk(text, shell),
+    "truncate": _truncate,
+    "caveman": _prose,
+    "lite": lambda text, shell, intensity, fuzzy: _prose(text, shell, "lite", fuzzy),
+}
+
+
+def known(names: list[str]) -> list[str]:
+    """The names, all of which must be in the registry."""
+    for name in names:
+        if name not in ENGINES:
+            raise ValueError(f"no engine is called {name!r}; there are {', '.join(ENGINES)}")
+    return names
+
+
+def step(engine: str, text: str, shell: bool = False, intensity: str = "full", fuzzy: bool = True, check: bool | Check = False, count: Callable[[str], int] = tokens) -> dict:
+    """One engine with its accounting: no output without fewer tokens, nor one that `check` (True: lost facts) objects to."""
+    known([engine])
+    out, skipped, techniques, rules = ENGINES[engine](text, shell, intensity, fuzzy)
+    before, after = count(text), count(out)
     why = skipped or ("no-gain" if after >= before else None)
     if not why and check:
-        why = spans.infidelity(text, out)
+        why = (spans.infidelity if check is True else check)(text, out)
     return {
         "engine": engine,
         "input": text,
@@ -129,10 +158,10 @@ def step(engine: str, text: str, shell: bool = False, intensity: str = "full", f
     }
 
 
-def cascade(text: str, lanes: list[str], shell: bool = False, intensity: str = "full", fuzzy: bool = True, check: bool = False) -> tuple[str, list[dict]]:
+def cascade(text: str, lanes: list[str], shell: bool = False, intensity: str = "full", fuzzy: bool = True, check: bool | Check = False, count: Callable[[str], int] = tokens) -> tuple[str, list[dict]]:
     steps = []
     for lane in lanes:
-        steps.append(step(lane, text, shell, intensity, fuzzy, check))
+        steps.append(step(lane, text, shell, intensity, fuzzy, check, count))
         text = steps[-1]["output"]
     return text, steps
 
@@ -144,20 +173,20 @@ class Gated:
     reason: str | None
 
 
-def gated(text: str, lanes: list[str], shell: bool, intensity: str, fidelity: bool, risk: bool, quantum: bool, fuzzy: bool) -> Gated:
+def gated(text: str, lanes: list[str], shell: bool, intensity: str, fidelity: bool, risk: bool, quantum: bool, fuzzy: bool, count: Callable[[str], int] = tokens) -> Gated:
     """The cascade between the gates; the text stays unless every place came through once and the result is smaller."""
     why = spans.document_risk(text) if risk else None
     if why:
         return Gated(text, [], f"risk:{why}")
     masked, risky = spans.mask(text) if risk else (text, [])
     locked, values, _ = spans.lock(masked) if quantum else (masked, [], {})
-    out, steps = cascade(locked, lanes, shell, intensity, fuzzy, fidelity)
+    out, steps = cascade(locked, lanes, shell, intensity, fuzzy, fidelity, count)
     places = [f"⟦Q{k}⟧" for k in range(len(values))] + [f"⟦risk_{c}{k}⟧" for k, (c, _) in enumerate(risky)]
     if any(out.count(p) != locked.count(p) for p in places):
         return Gated(text, steps, "placeholder-lost")
     back = spans.unmask(spans.unlock(out, values), risky)
     if re.search(r"⟦(?:Q\d+|risk_[a-z_]+\d+)⟧", back, re.ASCII) and not re.search(r"⟦(?:Q\d+|risk_[a-z_]+\d+)⟧", text, re.ASCII):
         return Gated(text, steps, "placeholder-lost")
-    if not (units(back) < units(text) and tokens(back) < tokens(text)):
+    if not (units(back) < units(text) and count(back) < count(text)):
         return Gated(text, steps, "no-gain")
     return Gated(back, steps, None)

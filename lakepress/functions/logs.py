@@ -94,7 +94,7 @@ def with_first_seen(df: DataFrame, of: Column, out: str) -> DataFrame:
     flags = F.zip_with(
         pairs,
         _shifted(F.col(pairs)),
-        lambda a, b: F.struct(a["i"].alias("i"), ((F.length(a["n"]) >= MIN_NOVEL_CHARS) & (b.isNull() | (a["n"] != b["n"]))).alias("novel"), ((F.length(a["n"]) >= MIN_NOVEL_CHARS) & b.isNotNull() & (a["n"] == b["n"])).alias("repeat")),
+        lambda a, b: F.struct(a["i"].alias("i"), ((utf16_length(a["n"]) >= MIN_NOVEL_CHARS) & (b.isNull() | (a["n"] != b["n"]))).alias("novel"), ((utf16_length(a["n"]) >= MIN_NOVEL_CHARS) & b.isNotNull() & (a["n"] == b["n"])).alias("repeat")),
     )
     return df.withColumn(out, F.array_sort(flags)).drop(pairs)
 
@@ -140,7 +140,7 @@ def with_deduplicated_blocks(df: DataFrame, text: str, out: str, removed: str) -
     blocks, pairs, flags = f"__{out}_blocks", f"__{out}_pairs", f"__{out}_flags"
     df = df.withColumn(blocks, F.split(text, "\n\n", -1))
     df = df.withColumn(pairs, F.array_sort(F.transform(blocks, lambda x, i: F.struct(normalize_block(x).alias("n"), i.alias("i")))))
-    again = F.zip_with(pairs, _shifted(F.col(pairs)), lambda a, b: F.struct(a["i"].alias("i"), (b.isNotNull() & (a["n"] == b["n"]) & (F.length(a["n"]) >= 80)).alias("again")))
+    again = F.zip_with(pairs, _shifted(F.col(pairs)), lambda a, b: F.struct(a["i"].alias("i"), (b.isNotNull() & (a["n"] == b["n"]) & (utf16_length(a["n"]) >= 80)).alias("again")))
     df = df.withColumn(flags, F.array_sort(again))
     kept = F.transform(F.filter(F.zip_with(blocks, flags, lambda x, f: F.struct(x.alias("v"), f["again"].alias("again"))), lambda x: ~x["again"]), lambda x: x["v"])
     n = F.size(F.filter(flags, lambda f: f["again"])).cast("long")

@@ -57,7 +57,8 @@ LOG_LINES = [
     re.compile(rf"{_S}*(?:Compiling|Building|Linking|Packing|Running){_S}"),
 ]
 _NUMBERED = re.compile(rf"{_S}*\d+\t", _A)
-_EDGES = re.compile(rf"\A{_S}+|{_S}+\Z")
+#: What ECMAScript takes for white space.
+WHITE = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def is_log_line(line: str) -> bool:
@@ -67,7 +68,7 @@ def is_log_line(line: str) -> bool:
 
 
 def normalize_line(line: str) -> str:
-    return re.sub(f"{_S}+", " ", re.sub(r"[0-9]+", "#", _EDGES.sub("", line).lower()))
+    return re.sub(f"{_S}+", " ", re.sub(r"[0-9]+", "#", line.strip(WHITE).lower()))
 
 
 def lock(text: str) -> tuple[str, list[str], dict[str, int]]:
@@ -126,8 +127,9 @@ def facts(text: str) -> tuple[list[tuple[str, str]], list[str], list[str]]:
     hunks: dict[str, None] = {}
     for line in text.split("\n"):
         normal = normalize_line(line)
-        repeat = len(normal) >= MIN_NOVEL_CHARS and normal in seen
-        if len(normal) >= MIN_NOVEL_CHARS:
+        long = len(normal) >= MIN_NOVEL_CHARS or len(normal.encode("utf-16-le", "surrogatepass")) >= 2 * MIN_NOVEL_CHARS
+        repeat = long and normal in seen
+        if long:
             seen.add(normal)
         if repeat or is_log_line(line):
             continue

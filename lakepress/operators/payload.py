@@ -6,19 +6,19 @@ same field holds a string in one request and an array in the next.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lakepress.functions import handler, lanes
+from lakepress.functions.handler import APIS
 from lakepress.functions.rewrite import rewrite
-from lakepress.functions.text import is_shell_tool, savings_percent, token_count, utf16_length
-from lakepress.operators import session, steps
+from lakepress.functions.text import is_shell_tool, savings_percent
 from lakepress.plans.config import Config
 
-APIS = ("anthropic-messages", "openai-completions", "openai-responses")
-MIN_CACHEABLE_TOKENS, MIN_GAIN_TOKENS = 512, 32
-
 
 def _text(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
@@ -129,55 +129,63 @@ def rewritten(api: pd.Series, payload: pd.Series, changes: pd.Series) -> pd.Seri
 
 
 def write_back(requests: DataFrame, changed: DataFrame) -> DataFrame:
-    """Requests with the texts of `changed` (payload_id, message, part, text) in their places: adds new_payload."""
-    lists = changed.groupBy("payload_id").agg(F.sort_array(F.collect_list(F.struct("message", "part", "text"))).alias("changes"))  # a request's own blocks
-    return requests.join(lists, "payload_id", "left").withColumn("new_payload", rewritten("api", "payload", "changes")).drop("changes")
+    """Requests with the texts of `changed` (payload_id, message, part, text) in their places: adds new_payload.
+
+    Ids tell requests apart here, so they must not repeat; null is an id like others.
+    """
+    lists = changed.groupBy(F.col("payload_id").alias("__p")).agg(F.sort_array(F.collect_list(F.struct("message", "part", "text"))).alias("changes"))  # a request's own blocks
+    joined = requests.join(lists, F.col("payload_id").eqNullSafe(F.col("__p")), "left")
+    return joined.withColumn("new_payload", rewritten("api", "payload", "changes")).drop("changes", "__p")
+
+
+_STEP = "struct<engine:string,savings_percent:double,rejected:boolean>"
+_BLOCK = "struct<kind:string,message:int,part:int,is_shell_tool:boolean,is_newest_user:boolean,is_current_turn:boolean,skipped:string,input:string,output:string>"
+_DECIDED = (
+    f"struct<fallback_reason:string,original_tokens:bigint,compressed_tokens:bigint,payload:string,steps:array<{_STEP}>,blocks:array<{_BLOCK}>,memo_hits:bigint,memo_misses:bigint>"
+)
+_memos: dict[str, handler.Memo] = {}
 
 
-def decide(requests: DataFrame, config: Config) -> DataFrame:
-    """The whole handler: payload_id, api, accepted, fallback_reason, tokens before and after, savings, new_payload.
+def decide(requests: DataFrame, config: Config, count: Callable[[str], int] = lanes.tokens) -> DataFrame:
+    """The whole handler, one pass over each request where it lies: payload_id, api, strategy, accepted, fallback_reason, tokens before and
+    after, savings, payload (untouched unless accepted), steps, blocks with the reason why one was skipped, memo counts.
 
-    Reasons are checked in a fixed order; early ones record no tokens, late ones the tokens before in both fields.
+    Requests keep to themselves whatever their ids. `count` is the number of tokens of a text. Blocks hold
+    texts before and after only with config.debug. The worker keeps what it decided on equal texts, within bounds.
     """
-    plain = requests.withColumn("payload", F.coalesce(F.to_json(F.try_parse_json("payload")), F.col("payload")))
-    found = blocks(plain)
-    counted = found.groupBy("payload_id").agg(F.count("*").alias("n_blocks"))
-    sized = plain.join(counted, "payload_id", "left").withColumn("tokens_before", token_count(F.col("payload")))
-    now = found.join(sized.select("payload_id", "tokens_before"), "payload_id")
-    if config.engines.session_dedup:
-        now = session.with_references(now).withColumn("text0", F.col("text")).withColumn("text", F.col("output")).drop("output", "deduped")
-    else:
-        now = now.withColumn("text0", F.col("text"))
-    if config.engines.clear:
-        now = session.with_cleared(now, config.clear_keep, F.col("tokens_before") > config.clear_trigger_tokens).withColumn("text", F.col("output")).drop("output", "cleared")
-    frozen = F.col("is_newest_user") | F.col("is_current_turn")
-    done = steps.compress_blocks(now.withColumn("text1", F.col("text")).withColumn("text", F.when(~frozen, F.col("text"))), config)
-    done = done.withColumn("text", F.coalesce("output", "text1"))
-    changed = done.where(F.col("text") != F.col("text0")).select("payload_id", "message", "part", "text")
-    any_change = changed.select("payload_id").distinct().withColumn("changed", F.lit(True))
-    out = write_back(sized.join(any_change, "payload_id", "left"), changed)
-    after = token_count(F.col("new_payload"))
-    lanes = bool(config.tool_lanes or config.user_lanes or config.engines.session_dedup or config.engines.clear)
-    reason = (
-        F.when(F.try_parse_json("payload").isNull(), "no-payload")
-        .when(F.col("api").isNull() | (F.col("api") == ""), "no-model-api")
-        .when(~F.col("api").isin(*APIS) | ~_known(), "unsupported-api")
-        .when(F.col("n_blocks").isNull(), "no-compressible-blocks")
-        .when(F.lit(not lanes), "no-lanes-enabled")
-        .when(F.col("tokens_before") < MIN_CACHEABLE_TOKENS, "below-min-cacheable")
-        .when(F.col("changed").isNull(), "no-block-changed")
-        .when((utf16_length(F.col("new_payload")) >= utf16_length(F.col("payload"))) | (after >= F.col("tokens_before")), "payload-not-smaller")
-        .when(F.col("tokens_before") - after < MIN_GAIN_TOKENS, "gain-below-threshold")
+    own = repr(config)
+
+    def told(b: handler.Block) -> tuple:
+        texts = (b.text, b.output) if config.debug else (None, None)
+        return (b.kind, b.message, b.part, b.shell, b.newest, b.current, b.skipped, *texts)
+
+    def run(api: pd.Series, text: pd.Series) -> pd.DataFrame:
+        if own not in _memos:
+            _memos.clear()
+        memo = _memos.setdefault(own, handler.Memo())
+        rows = []
+        for a, t in zip(api, text):
+            hits, misses = memo.hits, memo.misses
+            d = handler.handle(a, t, config, memo, count)
+            rows.append((d.reason, d.before, d.after, d.payload, d.steps, [told(b) for b in d.blocks], memo.hits - hits, memo.misses - misses))
+        return pd.DataFrame(rows, columns=["fallback_reason", "original_tokens", "compressed_tokens", "payload", "steps", "blocks", "memo_hits", "memo_misses"])
+
+    if not config.enabled:
+        requests = requests.limit(0)
+    each = F.pandas_udf(run, _DECIDED).asNondeterministic()  # so that a filter on its result does not run it twice
+    done = requests.select("payload_id", "api", each("api", "payload").alias("d")).select("payload_id", "api", "d.*")
+    return done.select(
+        "payload_id",
+        "api",
+        F.lit(config.strategy).alias("strategy"),
+        F.col("fallback_reason").isNull().alias("accepted"),
+        "fallback_reason",
+        "original_tokens",
+        "compressed_tokens",
+        savings_percent(F.col("original_tokens"), F.col("compressed_tokens")).alias("savings_percent"),
+        "payload",
+        "steps",
+        "blocks",
+        "memo_hits",
+        "memo_misses",
     )
-    early = F.col("fallback_reason").isin("no-payload", "no-model-api", "unsupported-api", "no-compressible-blocks", "no-lanes-enabled", "below-min-cacheable")
-    out = out.withColumns({"fallback_reason": reason, "__after": after})
-    out = out.withColumn("accepted", F.col("fallback_reason").isNull() & F.lit(config.enabled))
-    before = F.when(early, F.lit(0)).otherwise(F.col("tokens_before")).cast("long")
-    then = F.when(F.col("accepted"), F.col("__after")).otherwise(before)
-    rows = out.select("payload_id", "api", F.lit(config.strategy).alias("strategy"), "accepted", "fallback_reason", before.alias("original_tokens"), then.alias("compressed_tokens"), savings_percent(before, then).alias("savings_percent"), F.when(F.col("accepted"), F.col("new_payload")).otherwise(F.col("payload")).alias("payload"))
-    return rows if config.enabled else rows.where(F.lit(False))
-
-
-def _known() -> Column:
-    v = F.try_parse_json("payload")
-    return F.when(F.col("api") == "openai-responses", _is(_field(v, "input"), "ARRAY")).otherwise(_is(_field(v, "messages"), "ARRAY"))

@@ -30,7 +30,9 @@ _NONE = "array<string>"
 class Options:
     intensity: str = "full"
     fuzzy: bool = True
+    #: Tokens of a text, as a column (run_step) and as a function (cascades); both should say the same.
     tokens: Callable[[Column], Column] = token_count
+    count: Callable[[str], int] = python.tokens
 
 
 #: (df, text column, output column, options) -> df with output, `<output>_tech`, `<output>_rules`, `<output>_skip`.
@@ -92,7 +94,7 @@ def _lite(df: DataFrame, text: str, out: str, o: Options) -> DataFrame:
     return _prose(df, text, out, Options("lite", o.fuzzy, o.tokens))
 
 
-#: The registry; more engines may be added.
+#: The engines as columns, for run_step; more may be added.
 ENGINES: dict[str, Apply] = {"dedup": _dedup, "rtk": _rtk, "truncate": _truncate, "caveman": _prose, "lite": _lite}
 
 
@@ -126,17 +128,21 @@ def run_step(df: DataFrame, engine: str, options: Options = Options(), text: str
     return df.drop("__text", "__o", "__o_tech", "__o_rules", "__o_skip", "__a", "__b", "__step")
 
 
-def cascade(df: DataFrame, lanes: Iterable[str], options: Options = Options(), check: bool = False) -> DataFrame:
-    """Lane after lane, each on the output of the one before, in one pass: adds output and steps."""
-    order, intensity, fuzzy = list(lanes), options.intensity, options.fuzzy
+def cascade(df: DataFrame, lanes: Iterable[str], options: Options = Options(), check: bool | python.Check = False) -> DataFrame:
+    """Lane after lane, each on the output of the one before, in one pass: adds output and steps.
+
+    Lanes are names of functions/lanes.ENGINES; an unknown one is an error. `check`: True takes steps back that lose
+    facts; a function from the texts before and after a step gives the reason to take it back, or None.
+    """
+    order, intensity, fuzzy, count = python.known(list(lanes)), options.intensity, options.fuzzy, options.count
 
-    @F.pandas_udf(f"output string, steps array<{STEP}>")
     def run(text: pd.Series, shell: pd.Series) -> pd.DataFrame:
-        rows = [(None, []) if t is None else python.cascade(t, order, bool(s), intensity, fuzzy, check) for t, s in zip(text, shell)]
+        rows = [(None, []) if t is None else python.cascade(t, order, bool(s), intensity, fuzzy, check, count) for t, s in zip(text, shell)]
         return pd.DataFrame(rows, columns=["output", "steps"])
 
     shell = F.col("is_shell_tool") if "is_shell_tool" in df.columns else F.lit(False)
-    done = df.withColumn("__c", run(F.col("text"), F.coalesce(shell, F.lit(False))))
+    once = F.pandas_udf(run, f"output string, steps array<{STEP}>").asNondeterministic()  # a filter on its result must not run it again
+    done = df.withColumn("__c", once(F.col("text"), F.coalesce(shell, F.lit(False))))
     return done.withColumns({"output": F.col("__c.output"), "steps": F.col("__c.steps")}).drop("__c")
 
 
@@ -159,7 +165,6 @@ def compress_blocks(df: DataFrame, config: Config) -> DataFrame:
     gates, intensity = config.gates, config.intensity
     lanes = {"tool": list(config.tool_lanes), "user": list(config.user_lanes)}
 
-    @F.pandas_udf(f"output string, steps array<{STEP}>, reason string")
     def run(text: pd.Series, kind: pd.Series, shell: pd.Series) -> pd.DataFrame:
         rows = []
         for t, k, s in zip(text, kind, shell):
@@ -170,7 +175,8 @@ def compress_blocks(df: DataFrame, config: Config) -> DataFrame:
             rows.append((done.output, done.steps, done.reason))
         return pd.DataFrame(rows, columns=["output", "steps", "reason"])
 
-    done = df.withColumn("__c", run(F.col("text"), F.col("kind"), F.coalesce("is_shell_tool", F.lit(False))))
+    once = F.pandas_udf(run, f"output string, steps array<{STEP}>, reason string").asNondeterministic()
+    done = df.withColumn("__c", once(F.col("text"), F.col("kind"), F.coalesce("is_shell_tool", F.lit(False))))
     done = done.withColumns({"output": F.col("__c.output"), "steps": F.col("__c.steps"), "reason": F.col("__c.reason")}).drop("__c")
     return done.withColumn("accepted", F.col("reason").isNull())
 

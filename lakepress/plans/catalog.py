@@ -12,7 +12,7 @@ from lakepress.functions import logs, spans, udfs
 from lakepress.functions import text as T
 from lakepress.operators import measure, payload, session, steps, views
 from lakepress.plans import fixtures as X
-from lakepress.plans.config import Config, with_preset
+from lakepress.plans.config import Config, Engines, with_preset
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -181,7 +181,26 @@ def w1_c1_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("block_id", "removed", _md5(F.col("output")).alias("output_md5"))
 
 
-@_query()
+_STAMP_ONLY = r"^\s*\[?[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9:.]+(?:Z|[+-][0-9]{2}:?[0-9]{2})?\]?\s*$"
+_DEBUG_ONLY = r"(?i)^\s*\[?(?:debug|trace|verbose)\]?:?\s*$"
+_RTK_SQL = f"""WITH a AS (
+  SELECT id, text, aware, NOT aware AND NOT regexp_matches(text, 'Error:|Exception:|Traceback \\(most recent call last\\):') AS skipped FROM (
+    SELECT id, any_value(text) AS text, bool_or(regexp_matches(text, '(^|\\n)\\s*\\$\\s')) OR (count_if(full_line) >= 8 AND count_if(full_line AND log) / count_if(full_line) >= 0.6) AS aware
+    FROM (SELECT id, text, regexp_replace(line, '\\s+', '', 'g') <> '' AS full_line, ({_LOG_LINE.format(x='line')}) AS log FROM (SELECT id, text, unnest(string_split(text, chr(10))) AS line FROM ({_ALL_TEXTS}))) GROUP BY id)),
+f AS (SELECT id, string_agg(line, chr(10) ORDER BY pos) AS text FROM (
+  SELECT *, lag(line) OVER (PARTITION BY id ORDER BY pos) AS before FROM ({_lines_sql('SELECT id, text FROM a WHERE aware', 'id')}) WHERE NOT regexp_matches(line, '{_STAMP_ONLY}') AND NOT regexp_matches(line, '{_DEBUG_ONLY}'))
+  WHERE NOT (before IS NOT NULL AND before = line AND {_DECOR}) GROUP BY id),
+g AS (SELECT a.id, a.text AS whole, CASE WHEN aware THEN coalesce(f.text, '') ELSE a.text END AS text FROM a LEFT JOIN f USING (id) WHERE NOT skipped),
+r AS (SELECT id, output AS text FROM ({_collapse_sql('SELECT id, text FROM g', 'id')})),
+t AS (SELECT id, text, output, dropped_lines FROM ({_truncate_sql('SELECT id, text FROM r', 'id')})),
+o AS (SELECT a.id, a.text, skipped, CASE WHEN skipped THEN a.text ELSE t.output END AS output, array_to_string(list_filter([CASE WHEN g.text <> g.whole THEN 'rtk-filter' END, CASE WHEN t.text <> g.text THEN 'rtk-dedup' END, CASE WHEN dropped_lines > 0 THEN 'rtk-truncate' END], lambda x: x IS NOT NULL), ',') AS techniques
+  FROM a LEFT JOIN g USING (id) LEFT JOIN t USING (id))
+SELECT id, b AS original_tokens, CASE WHEN lost THEN b ELSE c END AS compressed_tokens, CASE WHEN lost THEN 0.0 ELSE {_SAVED.format(a='b', b='c')} END AS savings_percent, lost AS rejected,
+  CASE WHEN skipped THEN 'document' WHEN lost THEN 'no-gain' END AS reject_reason, techniques, md5(CASE WHEN lost THEN text ELSE output END) AS output_md5
+FROM (SELECT *, skipped OR c >= b AS lost FROM (SELECT *, {_TOKENS.format(x='text')} AS b, {_TOKENS.format(x='output')} AS c FROM o))"""
+
+
+@_query(_RTK_SQL)
 def c2_rtk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = steps.run_step(_all_texts(spark, sf_dir), "rtk").select("id", F.element_at("steps", 1).alias("s"))
     return df.select("id", "s.original_tokens", "s.compressed_tokens", "s.savings_percent", "s.rejected", "s.reject_reason", F.array_join("s.techniques", ",").alias("techniques"), _md5(F.col("s.output")).alias("output_md5"))
@@ -278,13 +297,18 @@ def _quantum_sql() -> str:
     return f"SELECT doc_id, {', '.join(n for n, _, _ in _QUANTUM)} FROM ({inner})"
 
 
+#: What each pattern can't do without, looked for before it.
+_QUANTUM_SIGNS = ("eyJ", "[-_][A-Za-z0-9]{16}", "Bearer", "-[0-9a-fA-F]{4}-", "(?:req|trace|span|corr)", "[0-9a-f]{16}", "1[0-9]{9}")
+
+
 @_query(_quantum_sql())
 def a6_quantum_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _docs(spark, sf_dir)
+    """One pass looks for any sign; only texts with one go through the patterns, in order, as earlier ones take spans from later ones."""
+    df = _docs(spark, sf_dir).withColumn("rest", F.when(F.col("text").rlike("|".join(_QUANTUM_SIGNS)), F.col("text")))
     for name, pattern, end in _QUANTUM:
         p = T.LEFT + pattern + (T.RIGHT if end else "")
-        df = df.withColumns({name: F.regexp_count("text", F.lit(p)).cast("long"), "text": F.regexp_replace("text", p, "⟦Q⟧")})
-    return df.drop("text")
+        df = df.withColumns({name: F.coalesce(F.regexp_count("rest", F.lit(p)).cast("long"), F.lit(0)), "rest": F.when(F.col("rest").rlike(p), F.regexp_replace("rest", p, "⟦Q⟧")).otherwise(F.col("rest"))})
+    return df.drop("text", "rest")
 
 
 _NEEDLE_SQL = {
@@ -433,15 +457,21 @@ def s9_w9_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.kept_after_rotation(e, 20_000, 5_000, group="event_type").select("event_id", "event_type")
 
 
-@_query("SELECT page_id, CASE WHEN n = 0 THEN 100.0 ELSE floor(hit / n * 1000 + 0.5) / 10 END AS recall_percent, CAST(n - hit AS BIGINT) AS n_missed FROM (SELECT page_id, len(w) AS n, len(list_filter(w, lambda x: contains(html, x))) AS hit FROM (SELECT page_id, html, regexp_extract_all(url, '[A-Za-z0-9]+') AS w FROM pages))")
+@_query("SELECT page_id, CASE WHEN n = 0 THEN 100.0 ELSE floor(hit / n * 1000 + 0.5) / 10 END AS recall_percent, CAST(n - hit AS BIGINT) AS n_missed, missed FROM (SELECT page_id, len(w) AS n, len(list_filter(w, lambda x: contains(html, x))) AS hit, array_to_string(list_slice(list_filter(w, lambda x: NOT contains(html, x)), 1, 5), ' ') AS missed FROM (SELECT page_id, html, regexp_extract_all(url, '[A-Za-z0-9]+') AS w FROM pages))")
 def j5_a10_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = X.table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("answer"), F.regexp_extract_all("url", F.lit("[A-Za-z0-9]+"), F.lit(0)).alias("needles"))
     rows = measure.with_recall(p)
     n = F.size("needles")
-    return rows.select("page_id", "recall_percent", F.floor((100 - F.col("recall_percent")) / 100 * n + 0.5).cast("long").alias("n_missed"))
+    return rows.select("page_id", "recall_percent", F.floor((100 - F.col("recall_percent")) / 100 * n + 0.5).cast("long").alias("n_missed"), F.array_join("missed", " ").alias("missed"))
 
 
-@_query()
+_RING_TOTALS = _TOTALS_OUT.format(inner=_TOTALS.format(source=f"SELECT * FROM ({X.RUNS_SQL}) ORDER BY seq DESC LIMIT 50"))
+
+
+@_query(
+    f"""SELECT 'req ' || CAST(requests AS VARCHAR) || ' · accepted ' || CAST(accepted_runs AS VARCHAR) || ' · −' || printf('%.1f', savings_percent) || '% · saved ' ||
+  CASE WHEN n >= 1000000 THEN printf('%.1f', n / 1e6) || 'M' WHEN n >= 1000 THEN printf('%.1f', n / 1e3) || 'k' ELSE CAST(n AS VARCHAR) END || ' tok' AS status FROM (SELECT *, saved_tokens AS n FROM ({_RING_TOTALS}))"""
+)
 def c11_status_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.status_line(measure.session_totals(X.runs(spark, sf_dir)))
 
@@ -459,7 +489,7 @@ def s12_f24_f25_a11_l1_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def c4_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = steps.cascade(_all_texts(spark, sf_dir), ["dedup", "rtk", "truncate", "caveman"], steps.Options("full", False), check=True)
+    df = steps.cascade(_all_texts(spark, sf_dir), ["dedup", "rtk", "truncate", "caveman"], steps.Options("full"), check=True)
     return steps.waterfall(df, "id")
 
 
@@ -532,7 +562,7 @@ _MARK_N = "doc_id % 12 + 1"
 
 
 @_query(
-    f"""SELECT doc_id, '[… ' || CAST({_MARK_N} AS VARCHAR) || ' lines truncated …]' AS truncated, '[… ' || coalesce(['one ', 'two ', 'three ', 'four ', 'five ', 'six ', 'seven ', 'eight ', 'nine '][{_MARK_N}], '') || 'duplicate block' || CASE WHEN {_MARK_N} = 1 THEN '' ELSE 's' END || ' elided …]' AS elided,
+    rf"""SELECT doc_id, '[… ' || CAST({_MARK_N} AS VARCHAR) || ' lines truncated …]' AS truncated, '[… ' || coalesce(['one ', 'two ', 'three ', 'four ', 'five ', 'six ', 'seven ', 'eight ', 'nine '][{_MARK_N}], '') || 'duplicate block' || CASE WHEN {_MARK_N} = 1 THEN '' ELSE 's' END || ' elided …]' AS elided,
   regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS block FROM documents"""
 )
 def f1_f4_f5_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -543,36 +573,74 @@ def f1_f4_f5_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- requests
 
 
-def _blocks_sql(newest: str) -> str:
-    third = "role <> 'user'"
-    return f"""SELECT conv_id AS payload_id, CAST(turn AS INTEGER) AS message, CASE WHEN {third} THEN 'tool' ELSE 'user' END AS kind, md5(text) AS text_md5, {newest} AS is_newest_user FROM (
-  SELECT *, turn = max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS newest FROM (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn FROM conversations)) WHERE text <> ''"""
+def _blocks_sql(api: str) -> str:
+    """Blocks of the requests that fixtures make of conversations, in a dialect."""
+    tool = "role <> 'user'"
+    first = {"anthropic-messages": f"CASE WHEN {tool} THEN 1 ELSE 0 END"}.get(api, "0")
+    kind = "'string'" if api == "anthropic-messages" else f"CASE WHEN {tool} THEN 'string' ELSE 'array' END"
+    shell = "false" if api == "openai-responses" else f"{tool} AND turn % 2 = 0"
+    current = f"k > coalesce(max(CASE WHEN {tool} THEN k END) OVER (PARTITION BY conv_id), -1)" if api == "anthropic-messages" else "true"
+    return f"""SELECT conv_id AS payload_id, CAST(k AS INTEGER) AS message, CAST({first} AS INTEGER) AS part, CASE WHEN {tool} THEN 'tool' ELSE 'user' END AS kind, {kind} AS content_kind, md5(text) AS text_md5,
+  coalesce(newest AND role = 'user', false) AS is_newest_user, current AS is_current_turn, {shell} AS is_shell_tool FROM (
+  SELECT *, k = max(CASE WHEN role = 'user' THEN k END) OVER (PARTITION BY conv_id) AS newest, {current} AS current FROM (SELECT conv_id, role, text, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations)) WHERE text <> ''"""
 
 
 def _extracted(spark: SparkSession, sf_dir: str, api: str) -> DataFrame:
     df = payload.blocks(X.requests(spark, sf_dir, api))
-    return df.select("payload_id", "message", "kind", _md5(F.col("text")).alias("text_md5"), "is_newest_user")
-
+    return df.select("payload_id", "message", "part", "kind", "content_kind", _md5(F.col("text")).alias("text_md5"), "is_newest_user", "is_current_turn", "is_shell_tool")
 
-_NEWEST = "coalesce(newest AND role = 'user', false)"
 
-
-@_query(_blocks_sql(_NEWEST))
+@_query(_blocks_sql("anthropic-messages"))
 def s2_anthropic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir, "anthropic-messages")
 
 
-@_query(_blocks_sql(_NEWEST))
+@_query(_blocks_sql("openai-completions"))
 def s3_completions_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir, "openai-completions")
 
 
-@_query(_blocks_sql(_NEWEST))
+@_query(_blocks_sql("openai-responses"))
 def s4_responses_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir, "openai-responses")
 
 
+def _decided(spark: SparkSession, sf_dir: str, config: Config) -> DataFrame:
+    rows = payload.decide(X.requests(spark, sf_dir, "anthropic-messages"), config)
+    return rows.select("payload_id", "strategy", "accepted", "fallback_reason", "original_tokens", "compressed_tokens", "savings_percent", _md5(F.col("payload")).alias("payload_md5"))
+
+
 @_query()
 def s6_c6_p16_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = payload.decide(X.requests(spark, sf_dir, "anthropic-messages"), with_preset(Config(enabled=True), "stacked"))
-    return rows.select("payload_id", "strategy", "accepted", "fallback_reason", "original_tokens", "compressed_tokens", "savings_percent", _md5(F.col("payload")).alias("payload_md5"))
+    return _decided(spark, sf_dir, with_preset(Config(enabled=True), "stacked"))
+
+
+def _request_sql(text: str) -> str:
+    """The fixtures' request of a conversation in the first dialect, from rows (conv_id, turn, role, text)."""
+    tool = f"""'{{"role":"assistant","content":[{{"type":"tool_use","id":"c' || CAST(turn AS VARCHAR) || '","name":"' || CASE WHEN turn % 2 = 0 THEN 'bash' ELSE 'read' END || '","input":{{}}}},{{"type":"tool_result","tool_use_id":"c' || CAST(turn AS VARCHAR) || '","content":' || CAST(to_json({text}) AS VARCHAR) || '}}]}}'"""
+    user = f"""'{{"role":"user","content":' || CAST(to_json({text}) AS VARCHAR) || '}}'"""
+    return f"""'{{"model":"m","messages":[' || string_agg(CASE WHEN role = 'user' THEN {user} ELSE {tool} END, ',' ORDER BY turn) || ']}}'"""
+
+
+@_query(
+    f"""WITH r AS (SELECT conv_id, turn, role, text, CASE WHEN fit AND row_number() OVER (PARTITION BY conv_id, fit ORDER BY turn DESC) > 1
+    THEN '[cleared: tool result elided to free context — ~' || CAST({_TOKENS.format(x='text')} AS VARCHAR) || ' tok removed]' ELSE text END AS new
+  FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text, role <> 'user' AND length(coalesce(text, '')) >= 200 AS fit FROM conversations)),
+p AS (SELECT conv_id, {_request_sql('text')} AS old, {_request_sql('new')} AS new, bool_or(new <> text) AS changed, bool_or(text <> '') AS any_block FROM r GROUP BY conv_id),
+q AS (SELECT *, {_TOKENS.format(x='old')} AS a, {_TOKENS.format(x='new')} AS b FROM p),
+d AS (SELECT *, CASE WHEN NOT any_block THEN 'no-compressible-blocks' WHEN a < 512 THEN 'below-min-cacheable' WHEN NOT changed THEN 'no-block-changed' WHEN length(new) >= length(old) OR b >= a THEN 'payload-not-smaller' WHEN a - b < 32 THEN 'gain-below-threshold' END AS reason FROM q),
+e AS (SELECT *, CASE WHEN reason IN ('no-compressible-blocks', 'below-min-cacheable') THEN 0 ELSE a END AS x, CASE WHEN reason IS NULL THEN b WHEN reason IN ('no-compressible-blocks', 'below-min-cacheable') THEN 0 ELSE a END AS y FROM d)
+SELECT conv_id AS payload_id, 'interactive' AS strategy, reason IS NULL AS accepted, reason AS fallback_reason, x AS original_tokens, y AS compressed_tokens, {_SAVED.format(a='x', b='y')} AS savings_percent, md5(CASE WHEN reason IS NULL THEN new ELSE old END) AS payload_md5 FROM e"""
+)
+def s6_c6_clear_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole handler where only clearing is on: whole requests before and after it."""
+    return _decided(spark, sf_dir, Config(enabled=True, engines=Engines(truncate=False, session_dedup=False, clear=True), clear_trigger_tokens=0, clear_keep=1))
+
+
+@_query(
+    f"""SELECT engine, CAST(count(*) AS BIGINT) AS steps, CAST(count_if(rejected) AS BIGINT) AS rejected, CAST(sum(original_tokens) AS BIGINT) AS original_tokens, CAST(sum(compressed_tokens) AS BIGINT) AS compressed_tokens, CAST(count_if(NOT rejected) AS BIGINT) AS comparable
+  FROM (SELECT 'truncate' AS engine, * FROM ({_step_sql(_truncate_sql(_LOGS, 'block_id'), 'block_id')})) GROUP BY ROLLUP (engine)"""
+)
+def p18_savings_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps by engine and over all, and those worth judging."""
+    return measure.savings_report(steps.cascade(X.log_blocks(spark, sf_dir), ["truncate"]).select(F.explode("steps").alias("s")).select("s.*"))

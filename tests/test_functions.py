@@ -146,3 +146,73 @@ def test_gates():
     done = lanes.gated(text, ["caveman"], False, "ultra", True, True, True, True)
     assert done.reason is None and len(done.output) < len(text)
     assert lanes.gated("kind: Secret\ndata: y", ["caveman"], False, "full", True, True, True, True).reason == "risk:k8s_secret"
+
+
+def test_unknown_engines_and_a_check_of_ones_own(spark):
+    import pytest
+
+    from lakepress.functions import lanes
+    from lakepress.operators import steps
+
+    text = "\n".join(f"line of text number {k % 3}" for k in range(300))
+    with pytest.raises(ValueError, match="typo"):
+        lanes.step("typo", text)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    with pytest.raises(ValueError, match="typo"):
+        steps.cascade(df, ["truncate", "typo"])
+    refuse = lambda before, after: "too short" if len(after) < 100 else None
+    row = steps.cascade(df, ["truncate"], check=refuse).first()
+    assert row.output == text and row.steps[0].reject_reason == "too short"
+    words = steps.cascade(df, ["truncate"], steps.Options(count=lambda t: len(t.split()))).first().steps[0]
+    assert words.original_tokens == len(text.split())
+
+
+def test_edit_distance_against_a_table():
+    import random
+
+    from lakepress.functions.compare import within
+
+    rng = random.Random(0)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 14))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            new = [i]
+            for j, d in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        assert all(within(a, b, k) == (row[-1] <= k) for k in range(15))
+
+
+def test_similar_paragraphs_against_all_pairs():
+    """Looking at shared runs first loses no pair; lengths are UTF-16 units, and the kept paragraph's is as written."""
+    import random
+    import re
+
+    from lakepress.functions.compare import drop_similar_blocks, utf16, within
+
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choice("abcdefgh😀é") for _ in range(rng.randint(2, 7))) for _ in range(200)]
+    for _ in range(6):
+        base = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(12, 60))) for _ in range(4)]
+        blocks = ["".join(c if rng.random() > rng.choice([0, 0.03, 0.1]) else "  " for c in rng.choice(base)) for _ in range(25)]
+        kept, normal = [], []
+        for block in blocks:
+            own = utf16(re.sub(r"\s+", " ", block.lower()).strip())
+            if len(own) >= 80 and any(own == n or (len(own) <= 2000 and len(utf16(k)) <= 2000 and within(own, n, int((1 - 0.9) * max(len(own), len(utf16(k)))))) for k, n in zip(kept, normal)):
+                continue
+            kept.append(block)
+            normal.append(own)
+        out, removed = drop_similar_blocks("\n\n".join(blocks))
+        assert removed == len(blocks) - len(kept) > 0 and out.startswith("\n\n".join(kept))
+
+
+def test_sizes_are_utf16_units_and_blanks_are_ecmascripts():
+    from lakepress.functions import compare, lanes, prose
+
+    smile = "😀"
+    text = "\n".join([smile * 4, smile * 4] + [f"row {k} {'ab' * (k % 7)}" for k in range(200)])
+    assert text.split("\n")[0] in lanes.truncate(text)[0]  # eight units, though four characters
+    assert compare.preserved(f"`{smile * 60}`")[0][1].endswith("…") and len(compare.utf16(compare.preserved(f"`{smile * 60}`")[0][1])) <= 96
+    assert prose.condense("\x1c" + "word " * 20 + "\x85\ufeff").output.endswith("\x85")
+    assert compare.drop_similar_blocks("\x1c" + "y" * 90 + "\n\n" + "y" * 90, False)[1] == 0

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakepress.operators import judge, measure, payload, session
 from lakepress.plans.config import Config, load, sanitize, save, with_preset
@@ -51,6 +52,103 @@ def test_decisions(requests):
     assert "truncated" in json.loads(rows[2].payload)["messages"][2]["content"] and "truncated" in json.loads(rows[3].payload)["input"][2]["output"]
 
 
+def test_requests_keep_to_themselves(spark):
+    """Requests that repeat an id, or have none, are handled each for itself."""
+    other = json.loads(json.dumps(ANTHROPIC).replace("compiling part", "linking piece"))
+    small = {"messages": [{"role": "user", "content": "hi"}]}
+    rows = [(1, payload.APIS[0], json.dumps(ANTHROPIC)), (1, payload.APIS[0], json.dumps(other)), (None, payload.APIS[0], json.dumps(ANTHROPIC)), (None, payload.APIS[0], json.dumps(other)), (None, payload.APIS[0], json.dumps(small)), (None, None, None)]
+    got = payload.decide(spark.createDataFrame(rows, "payload_id long, api string, payload string"), with_preset(Config(enabled=True), "interactive")).collect()
+    assert len(got) == 6 and [r.accepted for r in got] == [True] * 4 + [False] * 2
+    for (key, _, text), r in zip(rows, got):
+        assert r.payload_id == key
+        if r.accepted:
+            word = "linking" if "linking" in text else "compiling"
+            assert word in r.payload and ("compiling" in r.payload) != ("linking" in r.payload)
+        else:
+            assert r.payload == text
+    assert [r.fallback_reason for r in got[4:]] == ["below-min-cacheable", "no-payload"]
+
+
+def test_requests_keep_their_bytes(spark):
+    """Order of keys, spelling of numbers and characters stay; what is not accepted is given back as it was."""
+    odd = '{ "zeta": 1.0, "alpha": [1e5, -0.0, 123456789012345678901234567890, true, null], "model": "m\\u00e9\\/", "messages": %s, "last": 0.10 }'
+    messages = json.dumps(ANTHROPIC["messages"])
+    rows = [(1, payload.APIS[0], odd % messages), (2, "other", odd % messages), (3, payload.APIS[0], odd % "[]"), (4, payload.APIS[0], "[1.0]"), (5, payload.APIS[0], "1"), (6, payload.APIS[0], '{"messages": NaN}')]
+    got = {r.payload_id: r for r in payload.decide(spark.createDataFrame(rows, "payload_id long, api string, payload string"), with_preset(Config(enabled=True), "interactive")).collect()}
+    assert got[1].accepted and got[1].payload.startswith('{"zeta":1.0,"alpha":[1e5,-0.0,123456789012345678901234567890,true,null],"model":"mé/","messages":[') and got[1].payload.endswith(',"last":0.10}')
+    assert {k: r.fallback_reason for k, r in got.items() if k > 1} == {2: "unsupported-api", 3: "no-compressible-blocks", 4: "unsupported-api", 5: "no-payload", 6: "no-payload"}
+    assert all(got[k].payload == text for k, _, text in rows if k > 1)
+
+
+def test_both_forms_find_the_same_blocks(requests, spark, tables):
+    """Blocks as columns and in the handler, on odd requests and on the fixtures of all dialects."""
+    from lakepress.functions import handler
+    from lakepress.plans import fixtures
+
+    frames = [requests, *(fixtures.requests(spark, tables, api) for api in payload.APIS)]
+    for frame in frames:
+        columns = sorted((r.payload_id, r.message, r.part, r.kind, r.content_kind, r.text, r.is_newest_user, r.is_current_turn, r.is_shell_tool) for r in payload.blocks(frame).collect())
+        plain = []
+        for r in frame.collect():
+            try:
+                listed = handler.messages(r.api, json.loads(r.payload))
+            except ValueError:
+                listed = None
+            plain += [(r.payload_id, b.message, b.part, b.kind, b.content_kind, b.text, b.newest, b.current, b.shell) for b in handler.blocks(r.api, listed or [])]
+        assert columns == sorted(plain)
+
+
+def test_both_forms_refer_and_clear_alike(spark, tables):
+    """Session references and clearing as columns give what the handler gives."""
+    from lakepress.functions import handler
+    from lakepress.plans import fixtures
+
+    frame = fixtures.requests(spark, tables, payload.APIS[0])
+    found = session.with_cleared(session.with_references(payload.blocks(frame)).withColumn("text", F.col("output")).drop("output"), 1)
+    columns = {(r.payload_id, r.message, r.part): r.output for r in found.collect()}
+    for r in frame.collect():
+        blocks = handler.blocks(r.api, json.loads(r.payload)["messages"])
+        handler._refer(blocks, handler.lanes.tokens)
+        handler._clear(blocks, 1, handler.lanes.tokens)
+        for b in blocks:
+            assert columns[r.payload_id, b.message, b.part] == (b.output or b.text)
+
+
+def test_blocks_say_why_they_were_skipped(spark):
+    from dataclasses import replace
+
+    rows = spark.createDataFrame([(1, payload.APIS[0], json.dumps(ANTHROPIC)), (2, payload.APIS[0], json.dumps(ANTHROPIC))], "payload_id long, api string, payload string").coalesce(1)
+    config = with_preset(Config(enabled=True), "interactive")
+    got = payload.decide(rows, config).collect()
+    told = {(b.message, b.part): (b.kind, b.skipped, b.input, b.output) for b in got[0].blocks}
+    assert told[0, 0] == ("user", "no-lanes", None, None) and told[4, 0][1] == "newest-user" and told[2, 0] == ("tool", None, None, None)
+    assert (got[0].memo_hits + got[0].memo_misses, got[1].memo_hits, got[1].memo_misses) == (1, 1, 0)
+    assert measure.memo_hit_percent(payload.decide(rows, config)).first().memo_hit_percent >= 50
+    full = payload.decide(rows, replace(config, debug=True)).first().blocks
+    assert [b.input for b in full if b.message == 2] == [LONG] and "truncated" in [b.output for b in full if b.message == 2][0]
+
+
+def test_the_memo_is_bounded():
+    from lakepress.functions import handler, lanes
+
+    memo, made = handler.Memo(entries=3, chars=100), []
+    make = lambda k: lambda: made.append(k) or lanes.Gated("x" * 10, [], None)
+    for k in "abcada":
+        memo.get((k * 10,), make(k))
+    assert made == ["a", "b", "c", "d"] and (memo.hits, memo.misses) == (2, 4) and len(memo.known) == 3
+    memo.get(("y" * 200,), make("y"))
+    assert memo.held <= 100 and len(memo.known) == 3
+
+
+def test_python_runs_once(spark, tables):
+    """A filter on its result does not run a pass twice."""
+    from lakepress.plans import catalog
+
+    for name in ("c4_cascade", "c5_gated_blocks", "s6_c6_p16_decisions"):
+        plan = catalog.queries()[name](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1, name
+
+
 def test_nothing_while_disabled(requests):
     assert payload.decide(requests, Config()).count() == 0
 
@@ -117,6 +215,28 @@ def test_judges(spark):
     assert all(r.reply is None for r in judge.fidelity_batch(pairs, None, prices).collect())
 
 
+def test_whole_logs_are_summed_by_ranges(spark):
+    """Running sums over a table without groups, by ranges of the order, against a loop."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(k, "x" * rng.randint(0, 30), rng.randint(0, 9) * 1_000_000) for k in rng.sample(range(10_000), 700)]
+    df = spark.createDataFrame(rows, "n long, line string, input long")
+    held, want = 0, set()
+    for n, line, _ in sorted(rows, reverse=True):
+        held += len(line) + 1
+        if held <= 2000 or not want:
+            want.add(n)
+    assert {r.n for r in measure.kept_after_rotation(df, 5000, 2000).collect()} == want
+    total, capped = 0.0, set()
+    for n, _, cost in sorted(rows):
+        if total >= 1500:
+            capped.add(n)
+        total += cost / 1e6
+    got = measure.with_cost_cap(df.withColumn("output", F.lit(0)), 1500.0, 1.0, 0.0, "n").collect()
+    assert {r.n for r in got if r.capped} == capped and 0 < len(capped) < 700
+
+
 def test_rotation(spark):
     df = spark.createDataFrame([(k, "x" * 9) for k in range(10)], "n long, line string")
     assert sorted(r.n for r in measure.kept_after_rotation(df, 50, 30).collect()) == [7, 8, 9]
