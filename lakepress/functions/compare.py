@@ -5,6 +5,7 @@ Plain functions on one text each; udfs.py runs them over Arrow batches.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 
@@ -14,7 +15,7 @@ from lakepress.functions.spans import WHITE
 
 _SPACES = r"\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _S, _NOT_S = f"[{_SPACES}]", f"[^{_SPACES}]"
-_WORDS = re.compile(rf"{_S}+|(?:(?!{_S}).)+", re.S)
+_WORDS = re.compile(f"{_S}+|{_NOT_S}+")
 _FENCE, _INLINE = re.compile(r"```.*?```", re.S), re.compile(r"`[^`\n]+`")
 _URL = re.compile(rf"\bhttps?://{_NOT_S}+", re.ASCII)
 
@@ -40,53 +41,68 @@ def diff(before: str, after: str) -> list[tuple[str, str]] | None:
     a, b = words(before), words(after)
     if len(a) * len(b) > DIFF_LIMIT:
         return None
-    numbers: dict[str, int] = {}
-    x = np.array([numbers.setdefault(w, len(numbers)) for w in a], np.int64)
-    y = np.array([numbers.setdefault(w, len(numbers)) for w in b], np.int64)
-    n, m = len(a), len(b)
-    best = np.zeros((n + 1, m + 1), np.int32)  # of the ends from i and j on
-    for i in range(n - 1, -1, -1):  # a row at once: the running maximum from the right
-        take = np.where(y == x[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
-        best[i, :m] = np.maximum.accumulate(take[::-1])[::-1]
-    out: list[tuple[str, str]] = []
+    out: list[tuple[str, list[str]]] = []
 
-    def put(kind: str, text: str) -> None:
+    def put(kind: str, word: str) -> None:
         if out and out[-1][0] == kind:
-            out[-1] = (kind, out[-1][1] + text)
+            out[-1][1].append(word)
         else:
-            out.append((kind, text))
+            out.append((kind, [word]))
 
+    # One number for each suffix of a: its k lowest bits have a zero for each word that this suffix shares with the last k words of b.
+    n, m = len(a), len(b)
+    places: dict[str, int] = {}
+    for k, w in enumerate(reversed(b)):
+        places[w] = places.get(w, 0) | 1 << k
+    every = (1 << m) - 1
+    shared = [every] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        rest = shared[i + 1]
+        hit = rest & places.get(a[i], 0)
+        shared[i] = (rest + hit | rest - hit) & every
     i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and x[i] == y[j]:
+    while i < n and j < m:
+        if a[i] == b[j]:
             put("same", a[i])
             i, j = i + 1, j + 1
-        elif i < n and (j >= m or best[i + 1, j] >= best[i, j + 1]):
+            continue
+        left = (1 << (m - j)) - 1
+        if (shared[i] & left).bit_count() == (shared[i + 1] & left).bit_count():  # as much is shared without this word
             put("removed", a[i])
             i += 1
         else:
             put("added", b[j])
             j += 1
-    return out
+    for kind, tail in (("removed", a[i:]), ("added", b[j:])):
+        for w in tail:
+            put(kind, w)
+    return [(kind, "".join(ws)) for kind, ws in out]
 
 
 def heatmap(before: str, after: str, mode: str = "ultra") -> list[tuple[str, float, bool | None]]:
     """(token, score, kept) for each token; kept is None where the diff was left out."""
-    segments = diff(before, after)
+    return heat_of(before, diff(before, after), mode)
+
+
+@functools.lru_cache(1 << 14)
+def _score(token: str) -> float:
+    bare = token.strip(WHITE)
+    return 1.0 if any(p.search(bare) for p in _PRESERVE) else 0.15 if bare.lower() in STOPWORDS else 0.4 + min(len(bare) / 40, 0.2)
+
+
+def heat_of(before: str, segments: list[tuple[str, str]] | None, mode: str = "ultra") -> list[tuple[str, float, bool | None]]:
+    """The heat map from a diff of the text that is there already."""
     tokens = words(before)
     kept: list[bool | None] = [None] * len(tokens)
     if segments is not None:
-        flags = [kind == "same" for kind, text in segments if kind != "added" for _ in words(text)]
-        kept = list(flags[: len(tokens)])
-    out = []
-    for token, k in zip(tokens, kept):
-        if mode == "universal":
-            out.append((token, 1.0 if k else 0.0, k))
-            continue
-        bare = token.strip(WHITE)
-        score = 1.0 if any(p.search(bare) for p in _PRESERVE) else 0.15 if bare.lower() in STOPWORDS else 0.4 + min(len(bare) / 40, 0.2)
-        out.append((token, score, k))
-    return out
+        kept = []
+        for kind, text in segments:
+            if kind != "added":
+                kept += [kind == "same"] * len(words(text))
+    if mode == "universal":
+        return [(token, 1.0 if k else 0.0, k) for token, k in zip(tokens, kept)]
+    scores = {token: _score(token) if len(token) <= 64 else _score.__wrapped__(token) for token in set(tokens)}
+    return list(zip(tokens, map(scores.__getitem__, tokens), kept))
 
 
 def preserved(text: str) -> list[tuple[str, str]]:

@@ -40,6 +40,8 @@ NEEDLES = [
     ("inline_code", re.compile(r"`[^`\n]+`")),
     ("const_case", re.compile(r"\b[A-Z][A-Z0-9_]{2,}\b", _A)),
 ]
+#: What a kind of needle can't do without.
+_SIGNS = {"url": "://", "version": ".", "dotted_identifier": ".", "function_call": "(", "file_path": "/", "inline_code": "`"}
 NUMBER = re.compile(r"\d[\d.,]{0,40}", _A)
 JSON_KEY = re.compile(rf'"([A-Za-z_$][A-Za-z0-9_$-]{{0,80}})"{_S}*:')
 HUNK = re.compile(r"@@ -\d{1,9}(?:,\d{1,9})? \+\d{1,9}(?:,\d{1,9})? @@", _A)
@@ -67,8 +69,13 @@ def is_log_line(line: str) -> bool:
     return any(p.match(bare) for p in LOG_LINES)
 
 
+_DIGITS, _BLANKS = re.compile(r"[0-9]+"), re.compile(f"{_S}+")
+
+
 def normalize_line(line: str) -> str:
-    return re.sub(f"{_S}+", " ", re.sub(r"[0-9]+", "#", line.strip(WHITE).lower()))
+    if line.isascii() and line.isprintable():  # no other white space than blanks
+        return _DIGITS.sub("#", " ".join(line.lower().split()))
+    return _BLANKS.sub(" ", _DIGITS.sub("#", line.strip(WHITE).lower()))
 
 
 def lock(text: str) -> tuple[str, list[str], dict[str, int]]:
@@ -134,9 +141,11 @@ def facts(text: str) -> tuple[list[tuple[str, str]], list[str], list[str]]:
         if repeat or is_log_line(line):
             continue
         for kind, pattern in NEEDLES:
-            needles.update(((kind, x), None) for x in pattern.findall(line))
+            if _SIGNS.get(kind, "") in line:
+                needles.update(((kind, x), None) for x in pattern.findall(line))
         numbers.update((x, None) for x in NUMBER.findall(line))
-        hunks.update((x, None) for x in HUNK.findall(line))
+        if "@@" in line:
+            hunks.update((x, None) for x in HUNK.findall(line))
     return list(needles), list(numbers), list(hunks)
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import accumulate
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,24 +85,63 @@ def unmask(s: pd.Series, values: pd.Series, kinds: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else spans.unmask(t, list(zip(k, v))) for t, v, k in zip(s, values, kinds)], dtype=object)
 
 
-@F.pandas_udf(T.ArrayType(_struct(type=_TEXT, text=_TEXT)))
-def word_diff(before: pd.Series, after: pd.Series) -> pd.Series:
+_SEGMENTS, _HEAT = T.ArrayType(_struct(type=_TEXT, text=_TEXT)), T.ArrayType(_struct(text=_TEXT, score=T.DoubleType(), kept=T.BooleanType()))
+#: Rows whose words are laid out at a time.
+_ROWS = 256
+
+
+def _lists(rows: list[list[tuple] | None], fields: dict[str, pa.DataType]) -> pa.Array:
+    """Lists of structs from tuples, column by column; None is a null list."""
+    ends = [0, *accumulate(len(r or ()) for r in rows)]
+    columns = list(zip(*(x for r in rows if r for x in r))) or [()] * len(fields)
+    values = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values())], names=list(fields))
+    offsets = pa.array([None if k < len(rows) and rows[k] is None else e for k, e in enumerate(ends)], pa.int32())
+    return pa.ListArray.from_arrays(offsets, values)
+
+
+_SEGMENT_FIELDS = {"type": pa.string(), "text": pa.string()}
+_HEAT_FIELDS = {"text": pa.string(), "score": pa.float64(), "kept": pa.bool_()}
+
+
+def _pairs(before: pa.Array, after: pa.Array) -> Iterator[list[tuple[str | None, str | None]]]:
+    for at in range(0, len(before), _ROWS):
+        yield list(zip(before.slice(at, _ROWS).to_pylist(), after.slice(at, _ROWS).to_pylist()))
+
+
+def _diff(a: str | None, b: str | None) -> list[tuple[str, str]] | None:
+    return None if a is None or b is None else compare.diff(a, b)
+
+
+def word_diff(before: Column | str, after: Column | str) -> Column:
     """Segments; null where the texts are too large for each other."""
-    out = []
-    for a, b in zip(before, after):
-        found = None if a is None or b is None else compare.diff(a, b)
-        out.append(None if found is None else [{"type": k, "text": t} for k, t in found])
-    return pd.Series(out, dtype=object)
 
+    @F.arrow_udf(_SEGMENTS)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x, y in batches:
+            for rows in _pairs(x, y):
+                yield _lists([_diff(a, b) for a, b in rows], _SEGMENT_FIELDS)
+
+    return run(before, after)
 
-def heatmap(before: Column, after: Column, mode: str = "ultra") -> Column:
-    @F.pandas_udf(T.ArrayType(_struct(text=_TEXT, score=T.DoubleType(), kept=T.BooleanType())))
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or b is None else [{"text": t, "score": s, "kept": k} for t, s, k in compare.heatmap(a, b, mode)] for a, b in zip(x, y)], dtype=object)
+
+def compared(before: Column | str, after: Column | str, mode: str = "ultra") -> Column:
+    """The diff of two texts and the first one's heat map from it, as (diff, heat)."""
+
+    @F.arrow_udf(_struct(diff=_SEGMENTS, heat=_HEAT))
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x, y in batches:
+            for rows in _pairs(x, y):
+                diffs = [_diff(a, b) for a, b in rows]
+                heat = [None if a is None or b is None else compare.heat_of(a, d, mode) for (a, b), d in zip(rows, diffs)]
+                yield pa.StructArray.from_arrays([_lists(diffs, _SEGMENT_FIELDS), _lists(heat, _HEAT_FIELDS)], names=["diff", "heat"])
 
     return run(before, after)
 
 
+def heatmap(before: Column | str, after: Column | str, mode: str = "ultra") -> Column:
+    return compared(before, after, mode)["heat"]
+
+
 @F.pandas_udf(T.ArrayType(_struct(kind=_TEXT, preview=_TEXT)))
 def preserved_blocks(s: pd.Series) -> pd.Series:
     return pd.Series([[] if t is None else [{"kind": k, "preview": p} for k, p in compare.preserved(t)] for t in s], dtype=object)

@@ -24,7 +24,8 @@ def play(docs: DataFrame, config: Config, key: str = "doc_id") -> DataFrame:
     """A dry run: the enabled lanes in turn, with diff, heat map, encodings and preserved blocks, as far as they are shown."""
     rows = docs.where(playable(F.col("text"))).select(key, "text")
     done = steps.cascade(rows, config.tool_lanes, steps.Options(config.intensity, config.gates.fuzzy_dedup), check=config.gates.fidelity)
-    done = done.withColumns({"diff": udfs.word_diff("text", "output"), "heat": udfs.heatmap(F.col("text"), F.col("output"), config.heatmap), "encodings": udfs.encodings("text"), "preserved": udfs.preserved_blocks("text")})
+    done = done.withColumns({"view": udfs.compared("text", "output", config.heatmap), "encodings": udfs.encodings("text"), "preserved": udfs.preserved_blocks("text")})
+    done = done.withColumns({"diff": F.col("view.diff"), "heat": F.col("view.heat")}).drop("view")
     return done.withColumns({"diff_omitted": F.col("diff").isNull(), "diff": F.slice(F.filter("diff", lambda s: s["type"] != "same"), 1, DIFF_ROWS), "heat": F.slice("heat", 1, HEAT_TOKENS)})
 
 

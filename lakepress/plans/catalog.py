@@ -525,7 +525,7 @@ def f16_f17_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f21_f22_f23_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diff, heat map and preserved blocks of documents against their condensed form."""
     df = _docs(spark, sf_dir).withColumn("c", udfs.condense(F.col("text"), "full")).withColumn("out", F.coalesce("c.output", "text"))
-    df = df.withColumns({"d": udfs.word_diff("text", "out"), "p": udfs.preserved_blocks("text"), "h": udfs.heatmap(F.col("text"), F.col("out"))})
+    df = df.withColumns({"v": udfs.compared("text", "out"), "p": udfs.preserved_blocks("text")}).withColumns({"d": F.col("v.diff"), "h": F.col("v.heat")})
     views_of = [F.col("d").isNull().alias("omitted"), F.size(F.filter("d", lambda s: s["type"] == "removed")).alias("removed"), F.size("p").alias("preserved")]
     return df.select("doc_id", *views_of, F.size("h").alias("heat_tokens"), F.size(F.filter("h", lambda t: t["kept"])).alias("heat_kept"), _md5(F.to_json("h")).alias("heat_md5"))
 

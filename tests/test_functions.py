@@ -216,3 +216,31 @@ def test_sizes_are_utf16_units_and_blanks_are_ecmascripts():
     assert compare.preserved(f"`{smile * 60}`")[0][1].endswith("…") and len(compare.utf16(compare.preserved(f"`{smile * 60}`")[0][1])) <= 96
     assert prose.condense("\x1c" + "word " * 20 + "\x85\ufeff").output.endswith("\x85")
     assert compare.drop_similar_blocks("\x1c" + "y" * 90 + "\n\n" + "y" * 90, False)[1] == 0
+
+
+def test_compared_texts_as_columns(spark):
+    """Null texts, a diff that is left out, empty texts, and the same as the plain functions."""
+    from lakepress.functions import udfs
+
+    texts = [(None, "a"), ("a", None), ("a " * 1001, "b " * 1001), ("", ""), ("the 1.2.3 word", "1.2.3 word"), ("x", "")] * 60
+    df = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "k int, a string, b string")
+    rows = df.select("k", udfs.compared("a", "b").alias("v"), udfs.word_diff("a", "b").alias("d"), udfs.heatmap("a", "b", "universal").alias("h")).orderBy("k").collect()
+    for r, (a, b) in zip(rows, texts, strict=True):
+        if a is None or b is None:
+            assert r.v.diff is r.v.heat is r.d is r.h is None
+            continue
+        found = compare.diff(a, b)
+        assert (None if r.d is None else [tuple(x) for x in r.d]) == found == (None if r.v.diff is None else [tuple(x) for x in r.v.diff])
+        assert [tuple(x) for x in r.v.heat] == compare.heatmap(a, b) and [tuple(x) for x in r.h] == compare.heatmap(a, b, "universal")
+
+
+def test_signs_miss_no_rule():
+    """The rules that are only tried where a sign of theirs is in the text, against every pattern."""
+    rng = random.Random(5)
+    parts = ["Thank you, ", "HAPPY to ", "no problem! ", "Hey ", "i'd like to ", "sort of ", "so as to ", "Moreover, ", "in addition ", "veRy ", "verıly ", "ſo aſ to ", "extremely ", "word ", "\n", "a", ". "]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(12, 30)))
+        for name, _, patterns in prose.RULES["en"]:
+            low = text.lower()
+            if name in prose._SIGNS and not any(c in text for c in prose._ODD_CASE) and not any(s in low for s in prose._SIGNS[name]):
+                assert not any(p.search(text) for p, _ in patterns), (name, text)
