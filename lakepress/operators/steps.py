@@ -147,12 +147,16 @@ def cascade(df: DataFrame, lanes: Iterable[str], options: Options = Options(), c
 
 
 def solo(df: DataFrame, lanes: Iterable[str], options: Options = Options(), key: str = "doc_id") -> DataFrame:
-    """Every lane by itself on the same text: one row for each key and lane, with the step's fields."""
-    out = None
-    for k, lane in enumerate(lanes):
-        one = run_step(df, lane, options).select(key, F.lit(k).alias("lane_no"), F.element_at("steps", -1).alias("s")).select(key, "lane_no", "s.*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Every lane by itself on the same text, in one pass: a row for each key and lane, with the step's fields. Null texts have none."""
+    order, intensity, fuzzy, count = python.known(list(lanes)), options.intensity, options.fuzzy, options.count
+
+    def run(text: pd.Series, shell: pd.Series) -> pd.Series:
+        return pd.Series([[] if t is None else [python.step(lane, t, bool(s), intensity, fuzzy, count=count) for lane in order] for t, s in zip(text, shell)], dtype=object)
+
+    shell = F.col("is_shell_tool") if "is_shell_tool" in df.columns else F.lit(False)
+    once = F.pandas_udf(run, f"array<{STEP}>").asNondeterministic()
+    steps = df.select(key, once(F.col("text"), F.coalesce(shell, F.lit(False))).alias("__s"))
+    return steps.select(key, F.posexplode("__s").alias("lane_no", "__s")).select(key, "lane_no", "__s.*")
 
 
 def compress_blocks(df: DataFrame, config: Config) -> DataFrame:

@@ -59,3 +59,19 @@ def test_markers(spark):
 
     row = spark.range(1).select(T.elided_marker(F.lit(1)).alias("a"), T.elided_marker(F.lit(3)).alias("b"), T.elided_marker(F.lit(12)).alias("c"), T.truncated_marker(F.lit(4)).alias("d")).first()
     assert tuple(row) == ("[… one duplicate block elided …]", "[… three duplicate blocks elided …]", "[… duplicate blocks elided …]", "[… 4 lines truncated …]")
+
+
+def test_lanes_by_themselves_as_columns_say(spark):
+    """solo in one pass against run_step for each lane; null texts have no row."""
+    from lakepress.operators import steps
+
+    texts = [None, "", "x", "INFO a b\n" * 130 + "done 1", "a paragraph that is long enough to count as a copy of another one, it is really so\n\n" * 3, "the cat is very kind of happy, thank you, and the dog sleeps in order to rest"]
+    df = spark.createDataFrame([(k, t, k % 2 == 0) for k, t in enumerate(texts)], "doc_id int, text string, is_shell_tool boolean")
+    lanes = ["dedup", "rtk", "truncate", "caveman", "lite"]
+    found = {(r.doc_id, r.engine): r for r in steps.solo(df, lanes).collect()}
+    assert set(found) == {(k, e) for k, t in enumerate(texts) if t is not None for e in lanes}
+    for e in lanes:
+        for r in steps.run_step(df.where("text IS NOT NULL"), e).selectExpr("doc_id", "steps[0] AS s").collect():
+            own = found[r.doc_id, e].asDict()
+            assert own.pop("lane_no") == lanes.index(e) and own.pop("doc_id") == r.doc_id
+            assert own == r.s.asDict(), (r.doc_id, e)
