@@ -8,9 +8,11 @@ from __future__ import annotations
 import functools
 import json
 import re
+from collections.abc import Callable
 
 import numpy as np
 
+from lakepress.functions import toon
 from lakepress.functions.spans import WHITE
 
 _SPACES = r"\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -216,6 +218,16 @@ def strip_comments(text: str) -> str:
     return _FENCE.sub(inside, text)
 
 
+def _number(digits: str) -> int | float:
+    """A whole number is written without a fraction, as in the scripts that such arrays come from."""
+    value = float(digits)
+    return int(value) if value.is_integer() and abs(value) < 1e21 else value
+
+
+def _refuse(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
 def arrays(text: str) -> list[list[dict]]:
     """Arrays of at least 8 objects in lines that begin with [ or in fenced JSON; each text of one counts once."""
     found = [y for x in text.split("\n") if (y := x.strip(WHITE)).startswith("[")]
@@ -223,8 +235,8 @@ def arrays(text: str) -> list[list[dict]]:
     out = []
     for candidate in dict.fromkeys(found):
         try:
-            value = json.loads(candidate)
-        except ValueError:
+            value = json.loads(candidate, parse_float=_number, parse_constant=_refuse)
+        except (ValueError, RecursionError):
             continue
         if isinstance(value, list) and len(value) >= MIN_ARRAY and all(isinstance(x, dict) for x in value):
             out.append(value)
@@ -260,35 +272,23 @@ def tabular(rows: list[dict]) -> str:
     return "\n".join(["```omni-tabular", ",".join(hints), ",".join(_csv(c) for c in columns), *body, f"[{len(rows)} rows]", "```"])
 
 
-def toon(rows: list[dict]) -> str | None:
-    """The tabular form of the public TOON notation; None where rows are not uniform or hold nested values."""
-    columns = list(rows[0])
-    if any(list(r) != columns or any(isinstance(v, (dict, list)) for v in r.values()) for r in rows):
-        return None
-
-    def cell(value: object) -> str:
-        if value is None:
-            return "null"
-        if not isinstance(value, str):
-            return _scalar(value)
-        plain = value and value == value.strip() and not re.search(r'[,:"\\\[\]{}\n\r\t]', value) and not value.startswith("-") and value not in ("true", "false", "null") and not re.fullmatch(r"[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?", value)
-        return value if plain else json.dumps(value, ensure_ascii=False)
-
-    return "\n".join([f"[{len(rows)}]{{{','.join(columns)}}}:", *("  " + ",".join(cell(r[c]) for c in columns) for r in rows)])
+FORMS: dict[str, Callable[[list[dict]], str]] = {"json": compact_json, "gcf": tabular, "toon": toon.encode}
 
 
 def encodings(text: str) -> dict:
-    """Bytes and tokens of all arrays as JSON, as a table and as TOON, and the smallest by tokens, then bytes, then that order."""
+    """Bytes and tokens of all arrays as JSON, as a table and as TOON, and the smallest by tokens, then bytes, then that order.
+
+    A form that can't hold an array, nested too deep for it, has none.
+    """
     found = arrays(text)
-    tokens = lambda s: -(-len(s.encode()) // 4)
     out: dict = {"arrays": len(found)}
-    forms = {"json": [compact_json(a) for a in found], "gcf": [tabular(a) for a in found], "toon": [toon(a) for a in found]}
-    usable = []
-    for name, own in forms.items():
-        ok = all(x is not None for x in own)
-        out[f"{name}_bytes"] = sum(len(x.encode()) for x in own) if ok else None
-        out[f"{name}_tokens"] = sum(tokens(x) for x in own) if ok else None
-        if ok:
-            usable.append(name)
-    out["winner"] = min(usable, key=lambda k: (out[f"{k}_tokens"], out[f"{k}_bytes"])) if found else "json"
+    for name, form in FORMS.items():
+        try:
+            own = [len(form(a).encode()) for a in found]
+        except RecursionError:
+            out |= {f"{name}_bytes": None, f"{name}_tokens": None}
+        else:
+            out |= {f"{name}_bytes": sum(own), f"{name}_tokens": sum(-(-n // 4) for n in own)}
+    usable = [k for k in FORMS if out[f"{k}_bytes"] is not None]
+    out["winner"] = min(usable, key=lambda k: (out[f"{k}_tokens"], out[f"{k}_bytes"]), default="json")
     return out

@@ -339,7 +339,25 @@ def f18_u1_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).withColumn("c", count("text")).select("doc_id", "c.needles", "c.numbers")
 
 
-@_query()
+def _fidelity_sql() -> str:
+    """The verdict on documents cut in half: what is lost is named by its first sight, by line, kind and place."""
+    lines = f"""SELECT doc_id, pos, line FROM (SELECT *, length(n) >= {spans.MIN_NOVEL_CHARS} AND row_number() OVER (PARTITION BY doc_id, n ORDER BY pos) > 1 AS again FROM (SELECT *, {_NORMAL.format(x='line')} AS n FROM ({_lines_sql(_DOCS, 'doc_id')})))
+    WHERE NOT again AND NOT ({_LOG_LINE.format(x='line')})"""
+    patterns = {**_NEEDLE_SQL, "number": r"\d[\d.,]{0,40}", "hunk": r"@@ -\d{1,9}(?:,\d{1,9})? \+\d{1,9}(?:,\d{1,9})? @@"}
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, pos, {k} AS kind_no, '{kind}' AS kind, unnest(x) AS fact, generate_subscripts(x, 1) AS idx FROM (SELECT doc_id, pos, regexp_extract_all(line, '{p}') AS x FROM l)" for k, (kind, p) in enumerate(patterns.items())
+    )
+    return rf"""WITH d AS (SELECT doc_id, text, substr(text, 1, length(text) // 2) AS cut FROM documents), l AS ({lines}),
+  f AS (SELECT doc_id, kind, fact, min([pos, kind_no, idx]) AS seen FROM ({found}) GROUP BY ALL),
+  j AS (SELECT f.*, contains(cut, fact) AS kept, kind NOT IN ('number', 'hunk') AS needle FROM f JOIN d USING (doc_id)),
+  g AS (SELECT doc_id, count_if(needle) AS n, count_if(needle AND kept) AS k, arg_min(kind, seen) FILTER (WHERE needle AND NOT kept) AS first_kind, arg_min(fact, seen) FILTER (WHERE kind = 'number' AND NOT kept) AS number, count_if(kind = 'hunk' AND NOT kept) AS hunks FROM j GROUP BY doc_id),
+  o AS (SELECT doc_id, count(*) AS keys, count_if(contains(cut, '"' || name || '"')) AS kept_keys FROM (SELECT DISTINCT doc_id, cut, unnest(regexp_extract_all(text, '"([A-Za-z_$][A-Za-z0-9_$-]{{0,80}})"\s*:', 1)) AS name FROM d) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text = cut THEN NULL WHEN n > 0 AND k / n * 100 < {spans.CRITICAL_PERCENT} THEN 'fidelity:critical(' || first_kind || ':' || CAST(k AS VARCHAR) || '/' || CAST(n AS VARCHAR) || ')'
+  WHEN keys > 0 AND kept_keys / keys * 100 < {spans.JSON_KEY_PERCENT} THEN 'fidelity:json-keys(' || CAST(kept_keys AS VARCHAR) || '/' || CAST(keys AS VARCHAR) || ')'
+  WHEN number IS NOT NULL THEN 'fidelity:numeric(' || number || ')' WHEN hunks > 0 THEN 'fidelity:hunk' END AS reason FROM d LEFT JOIN g USING (doc_id) LEFT JOIN o USING (doc_id)"""
+
+
+@_query(_fidelity_sql())
 def f19_a8_a9_j4_j8_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether text keeps its facts when its second half is cut off."""
     df = _docs(spark, sf_dir).withColumn("cut", F.expr("substring(text, 1, length(text) div 2)"))
@@ -361,27 +379,33 @@ def p12_force_preserve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "pages").select("page_id", F.size(F.filter(w, T.force_preserve)).cast("long").alias("preserved"))
 
 
-@_query(
-    f"""SELECT doc_id, {_NORMAL.format(x="split_part(text, chr(10), 1)")} AS line, substr(sha256(text), 1, 24) AS hash, {_TOKENS.format(x='text')} AS tokens FROM documents"""
-)
-def f1_f2_f6_f32_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return _docs(spark, sf_dir).select("doc_id", T.normalize_line(F.get(T.lines(t), F.lit(0))).alias("line"), T.content_hash(t).alias("hash"), T.token_count(t).alias("tokens"))
+_BLANK = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 
 
-_BLANK = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+_LINES_MD5 = f"md5(array_to_string(list_transform(parts, lambda l: regexp_replace(regexp_replace(lower(regexp_replace(l, '^{_BLANK}|{_BLANK}$', '', 'g')), '[0-9]+', '#', 'g'), '{_BLANK}', ' ', 'g')), chr(10)))"
+
+
+def _normal_lines(text: Column) -> Column:
+    """All lines of a text in normal form, as one text."""
+    return F.array_join(F.transform(T.lines(text), T.normalize_line), "\n")
+
+
+@_query(f"""SELECT doc_id, {_LINES_MD5} AS lines_md5, substr(sha256(text), 1, 24) AS hash, {_TOKENS.format(x='text')} AS tokens FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents)""")
+def f1_f2_f6_f32_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return _docs(spark, sf_dir).select("doc_id", _md5(_normal_lines(t)).alias("lines_md5"), T.content_hash(t).alias("hash"), T.token_count(t).alias("tokens"))
 
 
 @_query(
     f"""SELECT doc_id, md5(regexp_replace(regexp_replace(lower(text), '{_BLANK}', ' ', 'g'), '^ | $', '', 'g')) AS block_md5, CAST(len(parts) AS BIGINT) AS n_lines,
-  md5(array_to_string(list_transform(parts, lambda l: regexp_replace(regexp_replace(lower(regexp_replace(l, '^{_BLANK}|{_BLANK}$', '', 'g')), '[0-9]+', '#', 'g'), '{_BLANK}', ' ', 'g')), chr(10))) AS lines_md5
+  {_LINES_MD5} AS lines_md5
 FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents)"""
 )
 def f1_f2_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal forms of whole texts, as a block and line by line."""
     t = F.col("text")
     return _docs(spark, sf_dir).select(
-        "doc_id", _md5(T.normalize_block(t)).alias("block_md5"), F.size(T.lines(t)).cast("long").alias("n_lines"), _md5(F.array_join(F.transform(T.lines(t), T.normalize_line), "\n")).alias("lines_md5")
+        "doc_id", _md5(T.normalize_block(t)).alias("block_md5"), F.size(T.lines(t)).cast("long").alias("n_lines"), _md5(_normal_lines(t)).alias("lines_md5")
     )
 
 
@@ -476,7 +500,22 @@ def c11_status_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.status_line(measure.session_totals(X.runs(spark, sf_dir)))
 
 
-@_query()
+def _encodings_sql() -> str:
+    """The three texts of each group's array, rows of a fixed schema, and their sizes."""
+    price = r"regexp_replace(CAST(o_totalprice AS VARCHAR), '\.0$', '')"
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+    obj = f"""'{{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":' || {price} || '}}'"""
+    row = f"o_orderkey || ',' || o_custkey || ',' || o_orderstatus || ',' || {price}"
+    nl, head = "chr(10)", ",".join(names)
+    texts = f"""'[' || string_agg(obj, ',') || ']' AS json, '```omni-tabular' || {nl} || 'n,n,s,n' || {nl} || '{head}' || {nl} || string_agg(r, {nl}) || {nl} || '[' || count(*) || ' rows]' || {nl} || '```' AS gcf,
+    '[' || count(*) || ']{{{head}}}:' || {nl} || string_agg('  ' || r, {nl}) AS toon"""
+    sizes = ", ".join(f"CASE WHEN n >= 8 THEN strlen({k}) ELSE 0 END AS {k}_bytes, CASE WHEN n >= 8 THEN {_TOKENS.format(x=k)} ELSE 0 END AS {k}_tokens" for k in ("json", "gcf", "toon"))
+    order = ", ".join(f"[{k}_tokens, {k}_bytes, {i}]" for i, k in enumerate(("json", "gcf", "toon")))
+    return f"""SELECT *, ['json', 'gcf', 'toon'][CAST(least({order})[3] AS BIGINT) + 1] AS winner FROM (SELECT g, h, CAST(n >= 8 AS BIGINT) AS arrays, {sizes} FROM (
+  SELECT o_custkey % 500 AS g, CAST(floor(o_orderkey / 20000) AS BIGINT) AS h, count(*) AS n, {texts} FROM (SELECT *, {obj} AS obj, {row} AS r FROM orders) GROUP BY 1, 2))"""
+
+
+@_query(_encodings_sql())
 def s12_f24_f25_a11_l1_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of 500 customers' numbers and 20,000 order keys at a time as a JSON array, in three encodings."""
     o = X.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 500).alias("g"), F.floor(F.col("o_orderkey") / 20000).alias("h"), F.struct("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").alias("s"))
@@ -563,11 +602,11 @@ _MARK_N = "doc_id % 12 + 1"
 
 @_query(
     rf"""SELECT doc_id, '[… ' || CAST({_MARK_N} AS VARCHAR) || ' lines truncated …]' AS truncated, '[… ' || coalesce(['one ', 'two ', 'three ', 'four ', 'five ', 'six ', 'seven ', 'eight ', 'nine '][{_MARK_N}], '') || 'duplicate block' || CASE WHEN {_MARK_N} = 1 THEN '' ELSE 's' END || ' elided …]' AS elided,
-  regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS block FROM documents"""
+  md5(regexp_replace(regexp_replace(lower(text), '{_BLANK}', ' ', 'g'), '^ | $', '', 'g')) AS block_md5 FROM documents"""
 )
 def f1_f4_f5_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id") % 12 + 1
-    return _docs(spark, sf_dir).select("doc_id", T.truncated_marker(n).alias("truncated"), T.elided_marker(n).alias("elided"), T.normalize_block(F.substring("text", 1, 60)).alias("block"))
+    return _docs(spark, sf_dir).select("doc_id", T.truncated_marker(n).alias("truncated"), T.elided_marker(n).alias("elided"), _md5(T.normalize_block(F.col("text"))).alias("block_md5"))
 
 
 # ---------------------------------------------------------------- requests

@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lakepress.functions import compare, lanes, prose, spans
+from lakepress.functions import compare, lanes, prose, spans, toon
 
 
 def test_english_prose():
@@ -123,10 +123,25 @@ def test_comments_in_fences():
 def test_encodings():
     rows = [{"id": k, "name": f"n,{k}", "ok": k % 2 == 0, "more": None} for k in range(8)]
     assert compare.tabular(rows).split("\n")[:4] == ["```omni-tabular", "n,s,b,null", "id,name,ok,more", '0,"n,0",true,']
-    assert compare.toon(rows).split("\n")[:2] == ["[8]{id,name,ok,more}:", '  0,"n,0",true,null']
+    assert toon.encode(rows).split("\n")[:2] == ["[8]{id,name,ok,more}:", '  0,"n,0",true,null']
     found = compare.encodings(compare.compact_json(rows))
     assert found["arrays"] == 1 and found["winner"] in ("gcf", "toon")
     assert compare.encodings("nothing")["winner"] == "json"
+    assert compare.encodings("[" + ",".join(['{"a":NaN}'] * 8) + "]")["arrays"] == 0
+    assert compare.arrays("[" + ",".join(['{"a":1.0,"b":2.50}'] * 8) + "]")[0][0] == {"a": 1, "b": 2.5}
+    deep = "[" + ",".join(['{"a":' + "[" * 3000 + "]" * 3000 + "}"] * 8) + "]"
+    assert compare.encodings(deep)["toon_bytes"] is None and compare.encodings(deep)["winner"] == "gcf"
+
+
+def test_toon_of_uneven_and_nested_values():
+    assert toon.encode([{"a": 1, "b": "x"}, {"b": "y", "a": 2}]) == "[2]{a,b}:\n  1,x\n  2,y"
+    assert toon.encode([{"a": 1}, {"b": 2}]) == "[2]:\n  - a: 1\n  - b: 2"
+    assert toon.encode([{}, {"id": 1, "tags": ["x", "y"], "at": {"lat": 1.5, "none": {}}}]) == "[2]:\n  -\n  - id: 1\n    tags[2]: x,y\n    at:\n      lat: 1.5\n      none:"
+    assert toon.encode([{"rows": [{"k": 1}, {"k": 2}], "z": []}]) == "[1]:\n  - rows[2]{k}:\n      1\n      2\n    z[0]:"
+    assert toon.encode([[1, 2], [], "s", None]) == "[4]:\n  - [2]: 1,2\n  - [0]:\n  - s\n  - null"
+    assert toon.encode({"a b": "", "n": "05", "t": "true", "d": "-x", "m": "l\nm", "f": 1e-7, "g": 2.0, "u": "é"}) == (
+        '"a b": ""\nn: "05"\nt: "true"\nd: "-x"\nm: "l\\nm"\nf: 0.0000001\ng: 2\nu: é'
+    )
 
 
 def test_preserved_blocks():
